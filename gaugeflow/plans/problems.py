@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.operators import copies, late, pit, regrid, rolling
+from gaugeflow.operators import copies, late, pit, profile, regrid, rolling, spikes
 from gaugeflow.sources.tables import table, table_path
 from gaugeflow.streaming import seen
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_flags(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.implausible(table(spark, d, "bronze"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flagged(p1_flags(spark, d))
+
+
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return regrid.regrid(table(spark, d, "bronze"))
 
@@ -42,6 +50,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return late.late_outcomes(p5_windows(spark, d))
 
 
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.profile_report(table(spark, d, "silver"), table(spark, d, "dq_rules"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.findings(p6_profile(spark, d))
+
+
 FEATURES = (
     "label_failure_within_horizon",
     "vibration_mean_5m",
@@ -62,9 +78,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pit.found_versions(pit.known_versions(table(spark, d, "predictions"), table(spark, d, "telemetry_features")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_grid, p2_found, p3_rolling, p3_found, p4_found, p5_windows, p5_found, p7_joined, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_flags, p1_found, p2_grid, p2_found, p3_rolling, p3_found, p4_found, p5_windows, p5_found, p6_profile, p6_found, p7_joined, p7_found)}
 
-#: One side of a copy: its place in the log, or its machine and time.
 ORACLE: dict[str, str] = {
     "p2_found": """
         WITH r AS (SELECT machine_id, epoch_us(ts) AS us, motor_temp AS v FROM bronze WHERE machine_id IS NOT NULL AND ts IS NOT NULL),
