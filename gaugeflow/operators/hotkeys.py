@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeflow.functions.columns import with_row
+
 MAX_SLICES = 100_000
 TARGET_ROWS = 20_000
 
@@ -35,7 +37,7 @@ def slice_table(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_R
     counts = slim.groupBy("_hot_key").agg(F.count("*").alias("_n"))
     totals = counts.agg(F.sum("_n").alias("total"))
     limit = F.greatest(F.lit(target_rows), F.col("total") / F.lit(MAX_SLICES))
-    hot = [(r["_hot_key"], r["_n"], r["_limit"]) for r in counts.join(F.broadcast(totals)).where(F.col("_n") > limit).select("_hot_key", "_n", limit.alias("_limit")).collect()]
+    hot = [(r["_hot_key"], r["_n"], r["_limit"]) for r in with_row(counts, totals).where(F.col("_n") > limit).select("_hot_key", "_n", limit.alias("_limit")).collect()]
     if not hot:
         return spark.createDataFrame([], _SLICES)
     keys = F.broadcast(spark.createDataFrame([(k, n, float(lim)) for k, n, lim in hot], "_hot_key string, _n bigint, _limit double"))

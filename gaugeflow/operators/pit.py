@@ -16,12 +16,13 @@ def known_versions(
     key: str = "machine_id",
     event_time: str = "event_timestamp",
     version_time: str = "event_timestamp",
-    known_time: str = "created_timestamp",
+    known_time: str | None = "created_timestamp",
     version_id: str = "feature_id",
     event_cols: tuple[str, ...] = ("prediction_id",),
     payload: tuple[str, ...] = (),
     ttl_us: int | None = DAY_US,
     target_rows: int = TARGET_ROWS,
+    only_known: bool = True,
 ) -> DataFrame:
     """For each event the version of its entity that was valid and already known at its time.
 
@@ -31,6 +32,8 @@ def known_versions(
     each slice gets the maximum over all earlier slices as carry-in, so the slices merge independently and the result
     doesn't depend on where they are cut.
 
+    With ``only_known`` false the time at which a version became known doesn't matter and only settles ties.
+
     Result: key, event_cols, ``asof_time`` (the event's), version_id and payload (prefixed ``v_``); events without a usable
     version keep NULLs there.
 
@@ -39,8 +42,11 @@ def known_versions(
     clash, as only the named ones are read and the payload is prefixed; empty tables give NULLs or no rows.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rank = [us(version_time).alias("t"), us(known_time).alias("c"), F.col(version_id).alias("id"), *[F.col(p).alias(f"v_{p}") for p in payload]]
-    usable = versions.where(F.col(key).isNotNull() & F.col(version_time).isNotNull() & F.col(known_time).isNotNull()).select(F.col(key).alias("k"), F.greatest(us(version_time), us(known_time)).alias("at"), F.struct(*rank).alias("ver"))
+    rank = [us(version_time).alias("t"), (us(known_time) if known_time else F.lit(0).cast("long")).alias("c"), F.col(version_id).alias("id"), *[F.col(p).alias(f"v_{p}") for p in payload]]
+    there = F.col(key).isNotNull() & F.col(version_time).isNotNull()
+    if only_known:
+        there = there & F.col(known_time).isNotNull()
+    usable = versions.where(there).select(F.col(key).alias("k"), (F.greatest(us(version_time), us(known_time)) if only_known else us(version_time)).alias("at"), F.struct(*rank).alias("ver"))
     asked = events.select(F.col(key).alias("k"), us(event_time).alias("at"), F.struct(*[F.col(c) for c in event_cols], F.col(event_time).alias("asof_time")).alias("ev"))
     nobody = asked.where(F.col("k").isNull() | F.col("at").isNull())
     both = usable.select("k", "at", F.lit(0).alias("side"), "ver", F.lit(None).cast(asked.schema["ev"].dataType).alias("ev")).unionByName(
