@@ -12,6 +12,8 @@ GRID = 64
 #: Limits of the findings; see findings().
 NULL_EXTRA, NULL_TIMES = 0.05, 4.0
 SHIFT, MASK_SHIFT = 0.12, 0.3
+#: A gap between distributions of n values that chance hardly ever makes is CHANCE / sqrt(n).
+CHANCE = 2.2
 PLAIN_SHARE = 0.99
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -119,16 +121,18 @@ def findings(report: DataFrame) -> DataFrame:
     """(load_id, column_name, finding) from the report.
 
     null_rate: above NULL_TIMES the usual rate plus NULL_EXTRA. range: a value outside the rule. pattern (texts): a value
-    of a rare mask. distribution (numbers): shift above SHIFT, or mask_shift above MASK_SHIFT.
+    of a rare mask. distribution (numbers): shift above SHIFT, and above what chance makes of a load of its size, or
+    mask_shift above MASK_SHIFT.
 
     Defined cases: a load without a usable value of a column has no shift; an empty table gives no findings.
     """
     number = F.col("column_name").isin(*NUMBERS)
+    least = F.greatest(F.lit(SHIFT), F.lit(CHANCE) / F.sqrt(F.greatest(F.col("n_rows") - F.col("n_missing"), F.lit(1))))
     tests = {
         "null_rate": F.col("null_rate") > NULL_TIMES * F.col("usual_null_rate") + NULL_EXTRA,
         "range": number & (F.col("out_of_range") > 0),
         "pattern": F.col("column_name").isin(*TEXTS) & (F.col("rare_masks") > 0),
-        "distribution": number & ((F.coalesce("shift", F.lit(0.0)) > SHIFT) | (F.col("mask_shift") > MASK_SHIFT)),
+        "distribution": number & ((F.coalesce("shift", F.lit(0.0)) > least) | (F.col("mask_shift") > MASK_SHIFT)),
     }
     found = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests.items()]))
     return report.where(reduce(lambda a, b: a | b, tests.values())).select("load_id", "column_name", F.explode(found).alias("finding"))
