@@ -15,7 +15,7 @@ ORDER, DEFAULT = ("table", "list", "junk"), "prose"
 #: The sense in which a statistic may speak for a kind.
 SENSES: dict[str, dict[str, str]] = {
     "table": {"cell_share": ">=", "symbol_ratio": "<=", "n_lines": ">=", "common_share": "<="},
-    "list": {"bare_short_share": ">=", "bullet_share": ">=", "n_lines": ">=", "words_per_line": "<=", "common_share": "<=", "long_share": "<=", "repeat_ratio": "<=", "tag_ratio": "<="},
+    "list": {"bare_short_share": ">=", "bullet_share": ">=", "n_lines": ">=", "common_share": "<=", "long_share": "<=", "repeat_ratio": "<=", "tag_ratio": "<="},
     "junk": {"common_share": "<=", "long_share": ">=", "repeat_ratio": ">=", "odd_ratio": ">=", "tag_ratio": ">=", "link_ratio": ">=", "hash_ratio": ">=", "letter_ratio": "<=", "n_chars": ">=", "n_words": ">=", "ends_share": "<=", "distinct_share": "<="},
 }
 #: Size of the labelled sample the rules are fitted on.

@@ -80,7 +80,7 @@ def text_statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", tex
     bare_quote = F.regexp_replace("t", "(?m)^[ \\t]*(?:[>|][ \\t]?)+(?=[^\\n]*[^|\\s][ \\t]*$)", "")
     plain = F.regexp_replace(F.regexp_replace("q", "(?i)\\[/?(?:quote|color|url|b|i|u|size|img)(?:=[^\\]\\n]*)?\\]|</?(?:blockquote|span|div|p|br|i|b|a|em|strong|font|u)\\b[^>\\n]*>", ""), "&(?:nbsp|amp|quot|lt|gt|#\\d+);", "")
     base = slim.withColumn("q", bare_quote).withColumn("p", plain)
-    base = base.withColumn("ls", F.filter(F.transform(F.split("p", "\\r?\\n"), lambda x: F.rtrim(x)), lambda x: F.length(F.trim(x)) > 0))
+    base = base.withColumn("ls", F.filter(F.transform(F.split("p", "\\r?\\n"), lambda x: F.rtrim(x)), lambda x: x.rlike("\\S")))
     jp = "[\\u3040-\\u30ff\\u4e00-\\u9fff]+"
 
     def words_of(x: Column) -> Column:
@@ -104,22 +104,22 @@ def text_statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", tex
         )
 
     lines = F.transform("ls", line)
-    base = base.withColumn("ln", lines).withColumn("w", words_of(F.col("p")))
+    run = F.transform(F.split("p", "[\\s\\u3000-\\u30ff\\u4e00-\\u9fff\\uff00-\\uffef]+"), lambda x: F.length(x))
+    base = base.withColumns({"ln": lines, "w": words_of(F.col("p")), "run": run})
     n = F.size("ln")
     total = lambda f: F.aggregate("ln", F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
     few = lambda x: x["c"] * 10 <= x["n"]
     chars = F.length(F.regexp_replace("t", "\\s+", ""))
     inner = F.length(F.regexp_replace("p", "\\s+", ""))
     letters = _chars(F.col("p"), "\\p{L}+")
-    out = base.select(
-        F.col(key),
+    features = [
         F.length("t").cast("double").alias("n_chars"),
         total(lambda x: x["n"]).cast("double").alias("n_words"),
         n.cast("double").alias("n_lines"),
         _share(letters, F.size("w")).alias("mean_word_length"),
-        _share(_chars(F.col("p"), "[^\\s\\u3000-\\u30ff\\u4e00-\\u9fff\\uff00-\\uffef]{16,}"), inner).alias("long_share"),
+        _share(F.aggregate(F.filter("run", lambda x: x >= 16), F.lit(0), lambda a, x: a + x), inner).alias("long_share"),
         _share(_chars(F.col("p"), "(\\S{1,4}?)\\1{5,}"), inner).alias("repeat_ratio"),
-        F.coalesce(F.array_max(F.transform(F.split("p", "[\\s\\u3000-\\u30ff\\u4e00-\\u9fff\\uff00-\\uffef]+"), lambda x: F.length(x))), F.lit(0)).cast("double").alias("longest_run"),
+        F.coalesce(F.array_max("run"), F.lit(0)).cast("double").alias("longest_run"),
         _share(total(lambda x: x["c"]), total(lambda x: x["n"])).alias("common_share"),
         _share(_chars(F.col("p"), "[^\\p{L}\\p{M}\\p{N}\\s]+"), inner).alias("symbol_ratio"),
         _share(_chars(F.col("p"), "\\p{N}+"), inner).alias("digit_ratio"),
@@ -135,5 +135,6 @@ def text_statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", tex
         _share(total(lambda x: (x["c"] == 0).cast("int")), n).alias("bare_share"),
         _share(F.size(F.array_distinct("w")), F.size("w")).alias("distinct_share"),
         _share(total(lambda x: x["n"]), n).alias("words_per_line"),
-    )
-    return out
+    ]
+    # A generator: predicates on the statistics aren't pushed below it, where they would compute everything again.
+    return base.select(F.col(key), F.explode(F.array(F.struct(*features))).alias("s")).select(F.col(key), "s.*")
