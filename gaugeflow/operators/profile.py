@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeflow.session import spill
+
 NUMBERS, TEXTS = ("lat", "speed", "battery_soh"), ("machine_id",)
 GRID = 64
 #: Limits of the findings; see findings().
@@ -89,14 +91,15 @@ def profile_report(silver: DataFrame, rules: DataFrame) -> DataFrame:
     Dominant patterns are mined per column from all loads: of the masks that together cover PLAIN_SHARE of the values,
     most frequent first, those that occur in more than half of the loads are regular for the column.
     """
-    prof = profile(silver, rules)
+    # Both are read several times below and are as small as loads times columns (times masks).
+    prof = spill(profile(silver, rules), "profile")
     usual = prof.groupBy("column_name").agg(F.percentile_approx("null_rate", 0.5).alias("usual_null_rate"))
     typical = typical_quantiles(prof)
     # The gap is taken at the quantiles of either side: the level i / GRID against the other's share up to that value.
     gap_at = lambda own, other: F.array_max(
         F.transform(own, lambda v, i: F.greatest((i + 1) / F.lit(GRID) - _share_below(other, v, False) - 1 / GRID, _share_below(other, v, True) - (i + 1) / F.lit(GRID) - 1 / GRID, F.lit(0.0)))
     )
-    masks = mask_counts(silver, rules)
+    masks = spill(mask_counts(silver, rules), "masks")
     totals = masks.groupBy("column_name", "mask").agg(F.sum("n").alias("all_n"), F.count("*").alias("in_loads"))
     rank = Window.partitionBy("column_name").orderBy(F.desc("all_n"), "mask")
     whole = totals.groupBy("column_name").agg(F.sum("all_n").alias("col_n")).join(masks.groupBy("column_name").agg(F.count_distinct("load_id").alias("loads")), "column_name")
