@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.columns import us
+from gaugeflow.functions.columns import flat, us
 from gaugeflow.operators import alerts, asof, bi, dedup, drift, evalmetrics, features, models, quality, verify, windows
 from gaugeflow.plans.adapter import TELEMETRY_SQL, telemetry_of
 from gaugeflow.schema import DURATIONS, METRICS, TASKS
@@ -36,24 +36,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def flat(df: DataFrame, digits: int = 4, nudge: float = 0.0) -> DataFrame:
-    """Times as microseconds under <name>_us, dates as text, doubles rounded.
-
-    Means of few short decimals lie exactly between two roundings; ``nudge`` moves them off the half in both engines.
-    """
-    out = []
-    for name, kind in df.dtypes:
-        if kind in ("timestamp", "timestamp_ntz"):
-            out.append(us(name).alias(f"{name}_us"))
-        elif kind == "date":
-            out.append(F.date_format(name, "yyyy-MM-dd").alias(name))
-        elif kind in ("double", "float"):
-            out.append(F.round(F.col(name).cast("double") + nudge, digits).alias(name))
-        else:
-            out.append(F.col(name))
-    return df.select(*out)
-
-
 # Windows
 
 _AGG = """round(avg(vibration) + 1e-7, 4) AS vibration_mean, round(stddev_samp(vibration) + 1e-7, 4) AS vibration_std, round(max(vibration) + 1e-7, 4) AS vibration_max,
