@@ -343,6 +343,7 @@ def _dashboard(name: str) -> Query:
     return run
 
 
+_HEALTH_SQL = ", ".join(f"round({c}, 4) AS {c}" if c.endswith("_mean") else c for c in bi.HEALTH)
 _DASH_SQL = {
     "window_count": "SELECT count(*) AS n FROM gold",
     "kpi_machines": f"SELECT n_machines FROM ({_kpi_sql()})",
@@ -351,7 +352,8 @@ _DASH_SQL = {
     "kpi_errors": f"SELECT total_errors FROM ({_kpi_sql()})",
     "series_vibration": "SELECT epoch_us(window_end) AS window_end_us, round(avg(vibration_mean), 4) AS avg_vibration, round(max(vibration_max), 4) AS max_vibration FROM gold WHERE window_duration = '1h' GROUP BY 1",
     "series_battery": "SELECT epoch_us(window_end) AS window_end_us, round(avg(battery_soh_mean), 4) AS avg_soh, round(min(battery_soh_min), 4) AS min_soh FROM gold WHERE window_duration = '1h' GROUP BY 1",
-    "health_table": None,
+    "health_table": f"""SELECT machine_id, epoch_us(window_end) AS last_window_end_us, {_HEALTH_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY window_end DESC, {', '.join(f'{c} DESC NULLS LAST' for c in bi.HEALTH)}) AS rn
+        FROM gold WHERE window_duration = '5m' AND window_end IS NOT NULL) WHERE rn = 1""",
     "at_risk": f"SELECT count(*) AS n FROM {_LATEST_SQL} WHERE failure_probability > 0.5",
     "max_risk": f"SELECT round(max(failure_probability), 4) AS max_probability FROM {_LATEST_SQL}",
     "scored_machines": f"SELECT count(*) AS n FROM {_LATEST_SQL}",
