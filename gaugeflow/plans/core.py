@@ -524,7 +524,7 @@ _TOP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine_id OR
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "bronze").where("ts IS NOT NULL AND NOT isnan(vibration) AND event_date >= DATE '2026-02-03'")
+    b = table(spark, d, "bronze").where("ts IS NOT NULL AND NOT isnan(vibration)")
     return alerts.above_threshold(b.select("machine_id", F.col("ts").alias("event_timestamp"), F.col("vibration").alias("anomaly_score"), "row_id"), 1.0)
 
 
