@@ -612,10 +612,8 @@ def batch_score(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def train_maintenance(spark: SparkSession, d: str) -> DataFrame:
     """Boosted trees on the older feature rows, their ranking metrics on the newer ones."""
-    t = table(spark, d, "telemetry_features")
-    rows = t.select("machine_id", "event_timestamp", *_ONLINE_COLS, "label_failure_within_horizon")
-    train, test = evalmetrics.time_split(rows, 0.2)
-    model, names = models.train("predictive_maintenance", train, rounds=10)
+    train, test = evalmetrics.time_split(table(spark, d, "telemetry_features"), 0.2)
+    model, names = models.train("predictive_maintenance", train)
     scored = models.score_model(model, alerts.align(test, names, keep=("label_failure_within_horizon",)), TASKS["predictive_maintenance"])
     return flat(evalmetrics.ranking_metrics(scored, "label_failure_within_horizon", "failure_probability"))
 

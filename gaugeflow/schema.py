@@ -42,7 +42,7 @@ METRICS = (
     "record_count",
 )
 #: Columns that identify or label a feature row and are no features.
-NOT_FEATURES = ("machine_id", "event_timestamp", "created_timestamp", "window_duration_anchor", "label_failure_within_horizon")
+NOT_FEATURES = ("feature_id", "machine_id", "event_timestamp", "created_timestamp", "window_duration_anchor", "label_failure_within_horizon")
 
 
 def wire_schema() -> T.StructType:

@@ -4,6 +4,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from gaugeflow.operators import models
 from gaugeflow.plans import core
 
 from .helpers import micros, rows
@@ -20,3 +21,28 @@ def test_alerts_read_every_day(spark, tmp_path):
     top = [("a", micros(DAYS[0]), 3.0), ("b", micros(DAYS[0]), 1.0), ("c", micros(DAYS[1]), 1.5)]
     assert rows(core.alert_top1(spark, str(tmp_path))) == top
     assert rows(core.alert_throttle(spark, str(tmp_path)), "machine_id") == [("a",), ("c",)]
+
+
+MEANS = [f"{m}_mean_{w}" for m in ("vibration", "motor_temp", "cpu_usage", "battery_soh") for w in ("5m", "1h", "24h")]
+LAGS = ["vibration_mean_5m_lag_1", "vibration_mean_5m_lag_3", "motor_temp_mean_5m_lag_1", "battery_soh_mean_5m_lag_1", "cpu_usage_mean_5m_lag_1"]
+RATES = [f"{m}_mean_5m_roc_1" for m in ("vibration", "motor_temp", "cpu_usage", "battery_soh")]
+FEATURES = [*MEANS, *LAGS, *RATES, "error_count_5m", "record_count_5m", "uptime_ratio_5m"]
+
+
+def feature_rows(spark, n, **columns):
+    """n feature rows a minute apart, 1.0 in every feature but those given as expressions of id."""
+    ids = spark.range(n).withColumns({"feature_id": F.col("id"), "machine_id": F.lit("m"), "event_timestamp": F.timestamp_seconds(F.col("id") * 60 + 1_770_000_000)})
+    return ids.withColumns({c: F.expr(columns.get(c, "1.0")).cast("double") for c in FEATURES}).withColumn("label_failure_within_horizon", F.expr(columns.get("label", "id % 2 = 0"))).drop("id")
+
+
+def test_training_takes_every_feature_and_round(spark, tmp_path, monkeypatch):
+    feature_rows(spark, 200, record_count_5m="id % 2").write.parquet(f"{tmp_path}/telemetry_features.parquet")
+    real, seen = models.classifier, {}
+
+    def short(features, label, **more):
+        seen.update(features=features, rounds=more["rounds"])
+        return real(features, label, **{**more, "rounds": 2})
+
+    monkeypatch.setattr(models, "classifier", short)
+    assert rows(core.train_maintenance(spark, str(tmp_path))) == [(1.0, 1.0)]
+    assert seen == {"features": FEATURES, "rounds": models.ROUNDS}
