@@ -17,12 +17,14 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeflow.functions.columns import finite
+from gaugeflow.functions.running import exact_quantiles
 from gaugeflow.operators.alerts import align
 from gaugeflow.schema import TASKS, Task, numeric_columns
 
 ROUNDS = 60
 #: Bounds of the rows a forest is fitted on: rows per tree and trees.
-FOREST_ROWS, FOREST_TREES = 256, 100
+FOREST_ROWS, FOREST_TREES = 256, 200
 SENSORS = ("lat", "lon", "speed", "accel_x", "accel_y", "accel_z", "vibration", "battery_soh", "motor_temp", "cpu_usage")
 
 
@@ -59,14 +61,15 @@ class IsolationForest:
     rows: int = FOREST_ROWS
 
     @staticmethod
-    def fit(sample: pd.DataFrame, features: list[str], trees: int = FOREST_TREES, rows: int = FOREST_ROWS, seed: int = 11) -> IsolationForest:
-        """Trees on random subsets of ``rows`` rows, to the depth at which the average path ends."""
+    def fit(sample: pd.DataFrame, features: list[str], trees: int = FOREST_TREES, rows: int = FOREST_ROWS, seed: int = 11, medians: list[float] | None = None) -> IsolationForest:
+        """Trees on random subsets of ``rows`` rows, to the depth at which the average path ends; without ``medians`` those of the sample."""
         rng = np.random.default_rng(seed)
         x = sample[features].to_numpy(dtype=float)
         x[~np.isfinite(x)] = np.nan
-        medians = np.nan_to_num(np.nanmedian(x, axis=0)) if len(x) else np.zeros(len(features))
-        x = np.where(np.isnan(x), medians, x)
-        out = IsolationForest(features, medians.tolist(), rows=min(rows, max(2, len(x))))
+        if medians is None:
+            medians = np.nan_to_num(np.nanmedian(x, axis=0)).tolist() if len(x) else [0.0] * len(features)
+        x = np.where(np.isnan(x), np.array(medians), x)
+        out = IsolationForest(features, medians, rows=min(rows, max(2, len(x))))
         depth = math.ceil(math.log2(max(2, out.rows)))
         for _ in range(trees):
             pick = x[rng.choice(len(x), size=out.rows, replace=len(x) < out.rows)]
@@ -120,9 +123,19 @@ def _path(tree: dict, x: np.ndarray) -> np.ndarray:
         at = np.where(inner, np.where(below, tree["l"][at], tree["r"][at]), at)
 
 
-def bounded_sample(df: DataFrame, columns: list[str], rows: int = 20_000) -> pd.DataFrame:
-    """At most ``rows`` rows for fitting, chosen by the hash of their values; sorted within executors, never all collected."""
-    return df.select(*columns, F.xxhash64(*columns).alias("_h")).orderBy("_h").limit(rows).drop("_h").toPandas()
+def bounded_sample(df: DataFrame, columns: list[str], rows: int = 20_000, key: str | None = None) -> pd.DataFrame:
+    """At most ``rows`` rows for fitting, chosen by the hash of ``key``, a unique column; sorted within executors, never all collected.
+
+    Without a key the values are hashed, and equal rows are in the sample all or not at all.
+    """
+    return df.select(*columns, F.xxhash64(*([key] if key else columns)).alias("_h")).orderBy("_h").limit(rows).drop("_h").toPandas()
+
+
+def medians(df: DataFrame, columns: list[str]) -> list[float]:
+    """Exact medians of the finite values of all rows, 0 for a column without any."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    found = {r["feature"]: r["quantiles"][0] for r in exact_quantiles(cells.where(finite("value")), ("feature",), "value", (0.5,)).collect()}
+    return [found.get(c, 0.0) for c in columns]
 
 
 def score_forest(df: DataFrame, forest: IsolationForest, output: str = "anomaly_score") -> DataFrame:
@@ -153,7 +166,8 @@ def train(task_name: str, features: DataFrame, label: str | None = None, rounds:
     task = TASKS[task_name]
     names = numeric_columns(features, drop_prefix=task.leak_prefix)
     if task.kind == "anomaly":
-        return IsolationForest.fit(bounded_sample(features, names), names), names
+        key = "feature_id" if "feature_id" in features.columns else None
+        return IsolationForest.fit(bounded_sample(features, names, key=key), names, medians=medians(features, names)), names
     target = label or ("label_failure_within_horizon" if task.kind == "probability" else "battery_soh_mean_5m")
     rows = features.where(F.col(target).isNotNull()).select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names if c != target], F.col(target).cast("double").alias("_y"))
     names = [c for c in names if c != target]

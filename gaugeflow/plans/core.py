@@ -602,10 +602,9 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def batch_score(spark: SparkSession, d: str) -> DataFrame:
-    """An isolation forest fitted on a bounded sample scores every feature row."""
+    """An isolation forest with medians of all rows and trees from a bounded sample scores every feature row."""
     t = table(spark, d, "telemetry_features")
-    names = list(_ONLINE_COLS[:4])
-    forest = models.IsolationForest.fit(models.bounded_sample(t, names), names)
+    forest, _ = models.train("anomaly_detection", t)
     return flat(models.batch_score(models.score_forest(t, forest), TASKS["anomaly_detection"], "forest", "champion"))
 
 

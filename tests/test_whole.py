@@ -46,3 +46,30 @@ def test_training_takes_every_feature_and_round(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "classifier", short)
     assert rows(core.train_maintenance(spark, str(tmp_path))) == [(1.0, 1.0)]
     assert seen == {"features": FEATURES, "rounds": models.ROUNDS}
+
+
+def test_forest_takes_every_feature_and_samples_rows(spark, tmp_path, monkeypatch):
+    # A third of the rows are equal, all NULL in one feature; the other rows are all different.
+    df = feature_rows(spark, 600, vibration_mean_5m="CASE WHEN id % 3 > 0 THEN id END", cpu_usage_mean_5m="CASE WHEN id % 3 > 0 THEN id ELSE 0 END")
+    df.write.parquet(f"{tmp_path}/telemetry_features.parquet")
+    real_sample, real_score, seen = models.bounded_sample, models.score_forest, {}
+
+    def sample(*args, **more):
+        seen["sample"] = real_sample(*args, **{**more, "rows": 200})
+        return seen["sample"]
+
+    def score(t, forest):
+        seen["forest"] = forest
+        return real_score(t, forest)
+
+    monkeypatch.setattr(models, "bounded_sample", sample)
+    monkeypatch.setattr(models, "score_forest", score)
+    got = rows(core.batch_score(spark, str(tmp_path)), "anomaly_score")
+    assert len(got) == 600 and all(0 < s < 1 for (s,) in got)
+    forest = seen["forest"]
+    assert forest.features == FEATURES and len(forest.trees) == 200
+    assert 45 <= seen["sample"]["vibration_mean_5m"].isna().sum() <= 90
+    kept = [float(i) for i in range(600) if i % 3]
+    assert forest.medians[FEATURES.index("vibration_mean_5m")] == (kept[199] + kept[200]) / 2
+    everything = sorted([*kept, *[0.0] * 200])
+    assert forest.medians[FEATURES.index("cpu_usage_mean_5m")] == (everything[299] + everything[300]) / 2
