@@ -15,12 +15,7 @@ def daily_activity(gold: DataFrame) -> DataFrame:
     The day is the one before the date of window_end. Exact repetitions of a row count once; windows that differ on the
     same day add up. A day is active if a window of record_count > 0 covers it; only such windows contribute.
     """
-    cols = ["machine_id", "window_start", "window_end", "record_count", "error_count", "vibration_mean", "motor_temp_mean"]
-    rows = (
-        gold.where((F.col("window_duration") == "24h") & F.col("machine_id").isNotNull() & F.col("window_end").isNotNull())
-        .select(*cols, *[c for c in ("vibration_std", "vibration_max", "motor_temp_std", "cpu_usage_mean", "battery_soh_mean", "failure_label") if c in gold.columns])
-        .distinct()
-    )
+    rows = gold.where((F.col("window_duration") == "24h") & F.col("machine_id").isNotNull() & F.col("window_end").isNotNull()).distinct()
     live = F.coalesce(F.col("record_count") > 0, F.lit(False))
 
     def exact(name: str):

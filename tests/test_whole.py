@@ -4,7 +4,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from gaugeflow.operators import models
+from gaugeflow.operators import models, rolling
 from gaugeflow.plans import core
 
 from .helpers import micros, rows
@@ -73,3 +73,11 @@ def test_forest_takes_every_feature_and_samples_rows(spark, tmp_path, monkeypatc
     assert forest.medians[FEATURES.index("vibration_mean_5m")] == (kept[199] + kept[200]) / 2
     everything = sorted([*kept, *[0.0] * 200])
     assert forest.medians[FEATURES.index("cpu_usage_mean_5m")] == (everything[299] + everything[300]) / 2
+
+
+def test_windows_that_differ_in_any_column_add_up(spark):
+    start = DAYS[0].replace(hour=0)
+    window = ("m", start, start + timedelta(days=1), "24h", 1.0, 50.0, 3, 10)
+    schema = "machine_id string, window_start timestamp, window_end timestamp, window_duration string, vibration_mean double, motor_temp_mean double, error_count long, record_count long, motor_temp_max double, cpu_usage_std double, battery_soh_min double"
+    gold = spark.createDataFrame([(*window, 60.0, 1.0, 0.9), (*window, 61.0, 1.0, 0.9), (*window, 61.0, 2.0, 0.9), (*window, 61.0, 2.0, 0.8), (*window, 61.0, 2.0, 0.8)], schema)
+    assert rows(rolling.rolling_totals(gold), "error_count_7d") == [(12,)]
