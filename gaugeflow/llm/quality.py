@@ -1,56 +1,50 @@
-"""Text quality: which documents are no natural prose, by a learned rule list over native statistics."""
+"""Text quality: which documents are no natural prose, by a learned rule list applied as a native CASE expression."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import labelled, rules
-from gaugeflow.llm.textstats import FEATURES, text_statistics
+from gaugeflow.llm.textstats import SHARES, SIZES, blocks, common_words, statistics, text_statistics, word_hashes
 
 ORDER, DEFAULT = ("table", "list", "junk"), "prose"
-#: The sense in which a statistic may speak for a kind.
-SENSES: dict[str, dict[str, str]] = {
-    "table": {"cell_share": ">=", "symbol_ratio": "<=", "n_lines": ">=", "common_share": "<="},
-    "list": {"bare_short_share": ">=", "bullet_share": ">=", "n_lines": ">=", "common_share": "<=", "long_share": "<=", "repeat_ratio": "<=", "tag_ratio": "<="},
-    "junk": {"common_share": "<=", "long_share": ">=", "repeat_ratio": ">=", "odd_ratio": ">=", "tag_ratio": ">=", "link_ratio": ">=", "hash_ratio": ">=", "letter_ratio": "<=", "n_chars": ">=", "n_words": ">=", "ends_share": "<=", "distinct_share": "<="},
-}
 #: Size of the labelled sample the rules are fitted on.
-SAMPLE = 6_000
+SAMPLE = 8_000
 
 
-def training_matrix(spark: SparkSession, common: DataFrame, n: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(statistics, kinds) of the labelled documents; the statistics come from the same expressions as the corpus's."""
-    docs = labelled.labelled_documents(n, seed)
-    frame = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string").repartition(8, "doc_id")
-    stats = text_statistics(frame, common).toPandas().sort_values("doc_id")
-    return stats[list(FEATURES)].to_numpy(dtype=float), np.array([k for _, _, k in docs], dtype=object)
+def training_matrix(common: DataFrame, n: int = SAMPLE, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(statistics, kinds) of the labelled documents; the statistics come from the same function as the corpus's."""
+    words, dense = common_words(common)
+    rows = common.where(F.col("word").isNotNull()).select("lang", "word").orderBy("lang", "word").collect()
+    by_lang: dict[str, list[str]] = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append(r["word"])
+    docs = labelled.labelled_documents(n, seed, by_lang)
+    texts = [t for _, t, _ in docs]
+    spaced = word_hashes(words)
+    x = np.concatenate([statistics(texts[a:b], spaced, dense) for a, b in blocks(texts)])
+    return x[:, len(SIZES) :], np.array([k for _, _, k in docs], dtype=object)
 
 
 @lru_cache(maxsize=8)
 def _learned(key: tuple, seed: int) -> tuple[rules.Rule, ...]:
-    x, y, shape = np.frombuffer(key[0]).reshape(key[2]), np.array(key[1], dtype=object), key[2]
-    assert shape[0] == len(y)
-    return tuple(rules.induce(x, y, ORDER, seed, senses=allowed_senses()))
+    x, y = np.frombuffer(key[0]).reshape(key[2]), np.array(key[1], dtype=object)
+    return tuple(rules.induce_best(x, y, ORDER, DEFAULT, seed))
 
 
-def allowed_senses() -> dict[str, set[tuple[int, bool]]]:
-    """SENSES by the place of the feature."""
-    return {kind: {(FEATURES.index(f), sense == ">=") for f, sense in tests.items()} for kind, tests in SENSES.items()}
-
-
-def learn_rules(spark: SparkSession, common: DataFrame, n: int = SAMPLE, seed: int = 7) -> list[rules.Rule]:
+def learn_rules(common: DataFrame, n: int = SAMPLE, seed: int = 7) -> list[rules.Rule]:
     """The rule list, fitted on the bounded labelled sample; kept per process."""
-    x, y = training_matrix(spark, common, n)
-    return list(_learned((x.tobytes(), tuple(y), x.shape), seed))
+    x, y = training_matrix(common, n)
+    return list(_learned((np.ascontiguousarray(x).tobytes(), tuple(y), x.shape), seed))
 
 
 def classify(stats: DataFrame, learned: list[rules.Rule]) -> DataFrame:
     """Add ``kind`` by the CASE expression of the rule list."""
-    return stats.withColumn("kind", F.expr(rules.to_case(learned, FEATURES, DEFAULT)))
+    return stats.withColumn("kind", F.expr(rules.to_case(learned, SHARES, DEFAULT)))
 
 
 def document_kinds(docs: DataFrame, common: DataFrame, n: int = SAMPLE) -> DataFrame:
@@ -58,7 +52,7 @@ def document_kinds(docs: DataFrame, common: DataFrame, n: int = SAMPLE) -> DataF
 
     Defined cases: NULL, empty and blank texts count as 'prose' (they are no case of anything).
     """
-    learned = learn_rules(docs.sparkSession, common, n)
+    learned = learn_rules(common, n)
     stats = text_statistics(docs, common)
     blank = F.col("n_lines") == 0
     return classify(stats, learned).withColumn("kind", F.when(blank, F.lit(DEFAULT)).otherwise(F.col("kind")))

@@ -49,8 +49,8 @@ def _cuts(col: np.ndarray) -> np.ndarray:
     return mids if len(mids) <= CUTS else np.quantile(mids, np.linspace(0, 1, CUTS))
 
 
-def _best_test(x: np.ndarray, pos: np.ndarray, senses: set[tuple[int, bool]] | None) -> Test | None:
-    """The test of most information gain over documents of which pos are of the class, among the allowed senses."""
+def _best_test(x: np.ndarray, pos: np.ndarray) -> Test | None:
+    """The test of most information gain over documents of which pos are of the class."""
     p0, n0 = int(pos.sum()), int((~pos).sum())
     base = np.log2(p0 / (p0 + n0))
     best, gain = None, 1e-9
@@ -60,8 +60,6 @@ def _best_test(x: np.ndarray, pos: np.ndarray, senses: set[tuple[int, bool]] | N
             continue
         above = x[:, f][:, None] >= cuts[None, :]
         for up, hit in ((True, above), (False, ~above)):
-            if senses is not None and (f, up) not in senses:
-                continue
             p = hit[pos].sum(axis=0)
             n = hit[~pos].sum(axis=0)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -72,11 +70,11 @@ def _best_test(x: np.ndarray, pos: np.ndarray, senses: set[tuple[int, bool]] | N
     return best
 
 
-def _grow(x: np.ndarray, pos: np.ndarray, most: int, senses: set[tuple[int, bool]] | None) -> tuple[Test, ...]:
+def _grow(x: np.ndarray, pos: np.ndarray, most: int) -> tuple[Test, ...]:
     tests: list[Test] = []
     live = np.ones(len(x), dtype=bool)
     while (~pos[live]).any() and pos[live].any() and len(tests) < most:
-        t = _best_test(x[live], pos[live], senses)
+        t = _best_test(x[live], pos[live])
         if t is None:
             break
         tests.append(t)
@@ -96,39 +94,47 @@ def _prune(kind: str, tests: tuple[Test, ...], x: np.ndarray, pos: np.ndarray) -
     return best, worth
 
 
-def induce(x: np.ndarray, labels: np.ndarray, order: tuple[str, ...], seed: int = 7, most_tests: int = 4, most_rules: int = 12, least_worth: float = 0.8, least_cover: int = 6, senses: dict[str, set[tuple[int, bool]]] | None = None) -> list[Rule]:
+def induce(x: np.ndarray, labels: np.ndarray, order: tuple[str, ...], seed: int = 7, most_tests: int = 4, most_rules: int = 16, least_worth: float = 0.85, least_cover: int = 6, tries: int = 6) -> list[Rule]:
     """The ordered rule list for the classes in ``order``; what no rule covers is of the remaining class.
 
-    ``senses`` names per class the (feature, above) that tests may use, where the sense of a feature is known.
+    A class is done when ``tries`` rules in a row, each grown on another split, fall short on the pruning documents.
     """
     rng = np.random.default_rng(seed)
     left = np.ones(len(x), dtype=bool)
     rules: list[Rule] = []
     for kind in order:
-        for _ in range(most_rules):
-            rows = np.flatnonzero(left)
+        found = failed = 0
+        while found < most_rules and failed < tries:
+            rows = rng.permutation(np.flatnonzero(left))
             pos = labels[rows] == kind
             if pos.sum() < 4:
                 break
-            rows = rng.permutation(rows)
-            pos = labels[rows] == kind
             fold = np.empty(len(rows), dtype=np.int64)
             for side in (pos, ~pos):
                 fold[side] = np.arange(int(side.sum())) % 3
             grow, prune = rows[fold < 2], rows[fold == 2]
-            tests = _grow(x[grow], labels[grow] == kind, most_tests, senses.get(kind) if senses else None)
-            if not tests:
-                break
+            tests = _grow(x[grow], labels[grow] == kind, most_tests)
             rule, worth = _prune(kind, tests, x[prune], labels[prune] == kind)
             supported = int((rule.covers(x[prune]) & (labels[prune] == kind)).sum())
-            if worth < least_worth or supported < least_cover:
-                break
+            if not tests or worth < least_worth or supported < least_cover:
+                failed += 1
+                continue
             rules.append(rule)
+            found, failed = found + 1, 0
             left &= ~rule.covers(x)
         left &= labels != kind
     return rules
 
 
+def induce_best(x: np.ndarray, labels: np.ndarray, order: tuple[str, ...], default: str, seed: int = 7, lists: int = 8) -> list[Rule]:
+    """Of several rule lists, each from other splits of three quarters of the rows, the one that does best on the last quarter."""
+    rows = np.random.default_rng(seed).permutation(len(x))
+    cut = len(x) * 3 // 4
+    learn, judge = rows[:cut], rows[cut:]
+    found = [induce(x[learn], labels[learn], order, seed + i) for i in range(lists)]
+    return max(found, key=lambda r: float((apply(r, x[judge], default) == labels[judge]).mean()) if len(judge) else 0.0)
+
+
 def apply(rules: list[Rule], x: np.ndarray, default: str) -> np.ndarray:
     """Class of each row: that of the first rule that covers it."""
     out = np.full(len(x), default, dtype=object)

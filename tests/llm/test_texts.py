@@ -1,5 +1,6 @@
 import base64
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ import tiktoken
 from gaugeflow.llm import bpe, labelled, packing, quality, rules
 from gaugeflow.llm.textstats import text_statistics
 
+from .odd_texts import ODD
+
 DOCS = "doc_id long, text string"
 WORDS = [("en", w, i) for i, w in enumerate("the of and to a in is it that was for on with not you have this we my at so if has there by an do about then when no after".split())]
 WORDS += [("de", w, 0) for w in "der die das und ist nicht ich ein zu in mit auf es dass war bei mir noch aber wenn hat für den nach wieder".split()]
@@ -108,6 +111,56 @@ def test_statistics(spark):
     assert all(got[i]["n_words"] == 0 and got[i]["n_lines"] == 0 for i in (2, 3, 4))
     assert got[5]["bullet_share"] == 1.0 and got[6]["cell_share"] == 1.0
     assert got[7]["n_words"] == 4
+    same = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], DOCS).selectExpr("*", "1 AS n_words", "2 AS _text")
+    assert text_statistics(same, common(spark)).count() == 3 and text_statistics(same.limit(0), common(spark).limit(0)).count() == 0
+
+
+def test_signature_goes_only_at_the_end_and_whole_texts_count(spark):
+    data = [(1, "The pump is on.\n--\n" + "it is the end of the line " * 40 + "\nand that was it"), (2, "The pump is on.\n--\n" + "me " * 100), (3, "a " * 200_000), (4, "x" * 300_000)]
+    got = {r["doc_id"]: r for r in text_statistics(spark.createDataFrame(data, DOCS), common(spark)).collect()}
+    assert got[1]["n_words"] == 4 + 280 + 4 and got[2]["n_words"] == 4
+    assert (got[3]["n_words"], got[4]["longest_run"]) == (200_000, 300_000)
+
+
+def brute(text):
+    """The plainest statistics again, character by character."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    words, current = [], ""
+    for ch in text + " ":
+        if unicodedata.category(ch)[0] in "LMN":
+            current += ch.lower()
+        elif current:
+            words.append(current)
+            current = ""
+    solid = [ch for ch in text if not ch.isspace()]
+    ends = sum(x.rstrip().rstrip("\"')]")[-1:] in ".!?" for x in lines)
+    known = {w for _, w, _ in WORDS}
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "n_words": len(words),
+        "n_lines": len(lines),
+        "common_share": share(sum(w in known for w in words), len(words)),
+        "letter_ratio": share(sum(ch.isalpha() for ch in solid), len(solid)),
+        "digit_ratio": share(sum(ch.isdigit() for ch in solid), len(solid)),
+        "distinct_share": share(len(set(words)), len(words)),
+        "ends_share": share(ends, len(lines)),
+        "longest_run": max([len(x) for x in text.split()], default=0),
+    }
+
+
+def test_statistics_against_brute_force(spark):
+    r = random.Random(9)
+    pool = ["the", "Pump", "und", "é", "x1", "42", "off", "well-known", "end.", "(so)", "No!", "A,B"]
+    data = [(i, "".join(r.choice(pool) + r.choice([" ", " ", "  ", "\n", "\t"]) for _ in range(r.randint(0, 60)))) for i in range(120)]
+    for got in text_statistics(spark.createDataFrame(data, DOCS), common(spark)).collect():
+        want = brute(data[got["doc_id"]][1])
+        assert {k: got[k] for k in want} == pytest.approx(want), data[got["doc_id"]][1]
+
+
+def test_notations_that_the_sample_does_not_compose(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(ODD)], DOCS)
+    got = {r["doc_id"]: r["kind"] for r in quality.document_kinds(df, common(spark)).collect()}
+    assert len(ODD) >= 60 and np.mean([got[i] == k for i, (k, _) in enumerate(ODD)]) >= 0.8
 
 
 def test_held_out_kinds(spark):
