@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from gaugeflow.session import spill
 
-CAPACITY, MAX_DOCS = 1024, 256
+#: Capacities of a container: tokens, documents, and attention tiles. Attention within documents is computed in square
+#: tiles of TILE tokens, so a document of n tokens costs ceil(n / TILE) squared tiles, however short it is. A document as
+#: long as a container costs 64; the 16 more leave room for short ones beside long ones.
+CAPACITY, MAX_DOCS, TILE, MAX_TILES = 1024, 64, 128, 80
 GROUP_PIECES = 8_192
 #: Weights of tokens, documents and attention cost in the residual norm.
 WEIGHTS = (1.0, 0.05, 0.05)
@@ -19,17 +22,16 @@ WEIGHTS = (1.0, 0.05, 0.05)
 PLACED = "container_id long, key long, piece int, token_start long, n_tokens long, at long"
 
 
-def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, attention: float | None = None, weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_tiles: int = MAX_TILES, tile: int = TILE, weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
     """(bin, start within it) of each item; sizes are 1 to capacity.
 
-    Every bin has three residuals: tokens, documents and attention cost (the sum of squared lengths). Items go, longest
-    first, to the bin that can take them under every constraint and whose weighted residual norm is then least; if there
-    is none, to a new bin.
+    Every bin has three residuals: tokens, documents and attention tiles. Items go, longest first, to the bin that can
+    take them under every constraint and whose weighted residual norm is then least; if there is none, to a new bin.
     """
-    attention = float(capacity) ** 2 if attention is None else float(attention)
-    if len(sizes) and float(sizes.max()) ** 2 > attention:
+    tiles = ((sizes.astype(np.int64) + tile - 1) // tile) ** 2
+    if len(sizes) and int(tiles.max()) > max_tiles:
         raise ValueError("an item costs more attention than a bin holds")
-    limit = np.array([capacity, max_docs, attention], dtype=float)
+    limit = np.array([capacity, max_docs, max_tiles], dtype=float)
     w = np.array(weights) / limit
     order = np.lexsort((np.arange(len(sizes)), -sizes))
     where, at = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64)
@@ -40,7 +42,7 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DO
     need = np.empty(3)
     for i in order:
         size = int(sizes[i])
-        need[:] = size, 1, size * size
+        need[:] = size, 1, tiles[i]
         live = open_bins[:n_open]
         left = rest[live] - need
         fits = (left >= 0).all(axis=1)
@@ -57,20 +59,20 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DO
             n_open += 1
         where[i], at[i] = b, capacity - rest[b, 0]
         rest[b] -= need
-        if rest[b, 0] < least or rest[b, 1] < 1:
+        if rest[b, 0] < least or rest[b, 1] < 1 or rest[b, 2] < 1:
             n_open -= 1
             open_bins[slot] = open_bins[n_open]
     return where, at
 
 
-def _pack(pdfs: Iterator[pd.DataFrame], capacity: int, max_docs: int) -> Iterator[pd.DataFrame]:
+def _pack(pdfs: Iterator[pd.DataFrame], limits: tuple) -> Iterator[pd.DataFrame]:
     """Pack each group of a partition that is sorted by group."""
     kept: list[pd.DataFrame] = []
 
     def done(whole: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for g, part in whole.groupby("grp", sort=False):
             part = part.sort_values(["key", "piece", "token_start"], kind="stable")
-            where, at = best_fit(part["n_tokens"].to_numpy(), capacity, max_docs)
+            where, at = best_fit(part["n_tokens"].to_numpy(), *limits)
             yield pd.DataFrame({"container_id": (np.int64(g) << 24) + where, "key": part["key"].to_numpy(), "piece": part["piece"].to_numpy(), "token_start": part["token_start"].to_numpy(), "n_tokens": part["n_tokens"].to_numpy(), "at": at})
 
     for pdf in pdfs:
@@ -87,7 +89,7 @@ def _pack(pdfs: Iterator[pd.DataFrame], capacity: int, max_docs: int) -> Iterato
         yield from done(pd.concat(kept, ignore_index=True))
 
 
-def pack(lengths: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, max_docs: int = MAX_DOCS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(lengths: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_tiles: int = MAX_TILES, tile: int = TILE, weights: tuple[float, float, float] = WEIGHTS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: container_id, key, piece, token_start, n_tokens, at (the piece's start in the container).
 
     Items longer than a container are cut into full containers and a rest; no other item is divided. Pieces are spread by
@@ -104,6 +106,8 @@ def pack(lengths: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
     starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))
     pieces = items.where(F.col("n") > 0).select("key", "n", F.posexplode(starts).alias("piece", "token_start"))
     pieces = pieces.select("key", "piece", "token_start", F.least(F.lit(capacity), F.col("n") - F.col("token_start")).alias("n_tokens"), F.pmod(F.xxhash64("key", "piece", "token_start"), F.lit(groups)).alias("grp"))
-    placed = pieces.repartition("grp").sortWithinPartitions("grp").mapInPandas(lambda it: _pack(it, capacity, max_docs), PLACED)
+    # A number of partitions that is asked for is left alone by AQE, which would merge all groups of a small table into one task.
+    limits = (capacity, max_docs, max_tiles, tile, weights)
+    placed = pieces.repartition(groups, "grp").sortWithinPartitions("grp").mapInPandas(lambda it: _pack(it, limits), PLACED)
     none = items.where(F.col("n") <= 0).select(F.lit(None).cast("long").alias("container_id"), "key", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("token_start"), F.col("n").alias("n_tokens"), F.lit(0).cast("long").alias("at"))
     return placed.unionByName(none).withColumnRenamed("key", key)

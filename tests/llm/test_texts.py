@@ -62,15 +62,27 @@ def test_perfect_hash_is_minimal():
 def test_best_fit_respects_every_capacity():
     r = np.random.default_rng(2)
     sizes = r.integers(1, 1025, 3000)
-    where, at = packing.best_fit(sizes, 1024, 4)
+    where, at = packing.best_fit(sizes)
     for b in range(where.max() + 1):
         mine = np.flatnonzero(where == b)
-        assert sizes[mine].sum() <= 1024 and len(mine) <= 4 and (sizes[mine].astype(float) ** 2).sum() <= 1024**2
+        assert sizes[mine].sum() <= 1024 and len(mine) <= 64 and (((sizes[mine] + 127) // 128) ** 2).sum() <= 80
         o = mine[np.argsort(at[mine])]
         assert (at[o] == np.concatenate([[0], np.cumsum(sizes[o])[:-1]])).all()
     assert (where.max() + 1) * 1024 <= 1.01 * sizes.sum() + 1024
 
 
+def test_each_capacity_binds_on_its_own():
+    bins = lambda sizes, **kw: int(packing.best_fit(np.array(sizes), **kw)[0].max()) + 1
+    assert bins([600, 500]) == 2 and bins([600, 500], capacity=1100) == 1
+    many = [3] * 65
+    assert bins(many) == 2 and bins(many, max_docs=65) == 1
+    tiled = [129] * 7 + [2] * 54
+    assert sum(tiled) <= 1024 and len(tiled) <= 64
+    assert bins(tiled) == 2 and bins(tiled, max_tiles=90) == 1
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([1024]), max_tiles=63)
+
+
 def test_packing_keeps_everything(spark):
     r = random.Random(3)
     data = [(i, r.choice([0, None, r.randint(1, 300), r.randint(1, 1024), r.randint(1025, 9000)])) for i in range(600)] + [(5, 100), (5, 100), (None, 7)]
