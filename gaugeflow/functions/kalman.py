@@ -126,33 +126,58 @@ def reverse_rows(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(rows >= 0, np.take_along_axis(z, np.maximum(rows, 0), axis=0), 0)
 
 
-def still_runs(y: np.ndarray) -> np.ndarray:
-    """Length of the run of exactly equal values that each packed reading belongs to.
+def following_innovations(y: np.ndarray) -> np.ndarray:
+    """Innovations of a filter without measurement noise: its gain is 1, so it follows its readings entirely.
 
-    In a filter that follows its readings entirely, the innovation is the difference to the reading before; a run is
-    where the variance of these innovations vanishes.
+    A sensor that stands still has no noise, and only for this filter do the innovations vanish in full at once.
     """
-    steps, n = y.shape
-    innovation = np.full((steps, n), np.nan)
-    if steps > 1:
-        innovation[1:] = y[1:] - y[:-1]
-    starts = ~np.isnan(y) & (innovation != 0)
-    run = np.cumsum(starts, axis=0) + np.arange(n) * (steps + 1)
-    real = ~np.isnan(y)
-    size = np.bincount(run[real], minlength=n * (steps + 1) + 1)
-    return np.where(real, size[run], 0)
+    e = np.full(y.shape, np.nan)
+    if len(y) > 1:
+        e[1:] = y[1:] - y[:-1]
+    return e
 
 
-def still_limit(y: np.ndarray, length: np.ndarray, least: int, factor: float) -> np.ndarray:
-    """From which length on a run of each column is no chance.
+def trailing_variance(e: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Mean square of the last ``width`` innovations of each column at each reading; NaN where there are fewer.
 
-    The chance of a repeat is estimated from the runs no longer than ``least``; the longest run to expect among n
-    readings is log(n) / log(1 / chance), and the limit lies ``factor`` times beyond it.
+    Sums over equal values are differences of equal running sums, so a variance that vanishes is exactly 0.
+    """
+    square = np.where(np.isnan(e), 0.0, e * e)
+    running = np.vstack([np.zeros(e.shape[1]), np.cumsum(square, axis=0)])
+    at = np.arange(len(e))[:, None] + 1
+    back = at - width[None, :]
+    earlier = np.take_along_axis(running, np.maximum(back, 0), axis=0)
+    # The first reading has no innovation.
+    return np.where((back >= 1) & ~np.isnan(e), (running[1:] - earlier) / width[None, :], np.nan)
+
+
+def still(y: np.ndarray, settle: int, factor: float, least: int) -> np.ndarray:
+    """Which packed readings belong to a stretch over which the innovation variance vanishes for no chance.
+
+    The test is per source. Its chance that an innovation vanishes is estimated from readings whose last ``settle``
+    innovations have not all vanished, so a stuck stretch adds at most ``settle`` of them and one that is long by chance is
+    no less counted; two standard errors are added. A stretch of w vanishing innovations has the chance p ** w; the longest to expect among n readings
+    has log(n) / log(1 / p), and the variance is taken over ``factor`` times as many (and two more, at least ``least``).
     """
-    real = ~np.isnan(y)
-    usual = real & (length <= least)
-    n = np.maximum(real.sum(axis=0), 2)
-    readings = np.maximum(usual.sum(axis=0), 1)
-    runs = np.where(usual, 1 / np.maximum(length, 1), 0).sum(axis=0)
-    chance = np.clip((readings - runs) / readings, 1e-3, 0.95)
-    return np.maximum(least, factor * np.log(n) / np.log(1 / chance) + 2)
+    steps, n = y.shape
+    e = following_innovations(y)
+    there = ~np.isnan(e)
+    if steps < 2 or not n:
+        return np.zeros(y.shape, dtype=bool)
+    gone = trailing_variance(e, np.full(n, settle)) == 0
+    risk = there.copy()
+    risk[1:] &= ~gone[:-1]
+    at_risk = risk.sum(axis=0)
+    zeros = (risk & (e == 0)).sum(axis=0)
+    chance = (zeros + 0.5) / (at_risk + 1)
+    chance = np.clip(chance + 2 * np.sqrt(chance * (1 - chance) / (at_risk + 1)), 1e-3, 0.999)
+    readings = np.maximum((~np.isnan(y)).sum(axis=0), 2)
+    width = np.maximum(least - 1, np.ceil(factor * np.log(readings) / np.log(1 / chance) + 1)).astype(np.int64)
+    over = trailing_variance(e, np.minimum(width, steps)) == 0
+    over &= width[None, :] < steps
+    # A window that vanishes covers the readings from the one before its first innovation on.
+    mark = np.zeros((steps + 1, n), dtype=np.int64)
+    i, j = np.nonzero(over)
+    np.add.at(mark, (i - width[j], j), 1)
+    np.add.at(mark, (i + 1, j), -1)
+    return np.cumsum(mark[:-1], axis=0) > 0

@@ -64,6 +64,8 @@ def regrid(df: DataFrame, key: str = "machine_id", ts: str = "ts", value: str =
     mid = F.col("slot") + half
     gap = F.col("rgt.us") - F.col("lft.us")
     weight = (mid - F.col("lft.us")) / F.greatest(gap, F.lit(1))
+    # Both neighbours are the nearest ones: a slot has a reading of its own if and only if one of them lies within it.
+    own = F.coalesce(F.col("lft.us") >= F.col("slot"), F.lit(False)) | F.coalesce(F.col("rgt.us") < F.col("slot") + step_us, F.lit(False))
     between = F.when(gap <= max_gap_us, F.col("lft.v") + (F.col("rgt.v") - F.col("lft.v")) * weight)
     value_at = F.coalesce(between, F.col("mean"))
     return sides.select(
@@ -74,10 +76,10 @@ def regrid(df: DataFrame, key: str = "machine_id", ts: str = "ts", value: str =
         F.col("lft.us").alias("left_us"),
         F.col("rgt.us").alias("right_us"),
         value_at.alias("grid_value"),
-        F.when(F.col("n") > 0, F.lit("observed")).when(between.isNotNull(), F.lit("interpolated")).otherwise(F.lit("gap")).alias("fill"),
+        F.when(own, F.lit("observed")).when(between.isNotNull(), F.lit("interpolated")).otherwise(F.lit("gap")).alias("fill"),
     )
 
 
 def empty_slots(grid: DataFrame, key: str = "machine_id") -> DataFrame:
-    """Slots of the grid without a usable reading."""
-    return grid.where(F.col("n_readings") == 0).select(key, "slot_start_us")
+    """Slots of the grid whose neighbours as of the merge both lie outside of them."""
+    return grid.where(F.col("fill") != "observed").select(key, "slot_start_us")

@@ -40,7 +40,7 @@ def rolling_totals(gold: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataF
     """One row per machine and day from its first to its last active day, idle days included.
 
     Each daily amount is written as two deltas, added on its day and taken away after the length of the period; the
-    running sum of the deltas is the total. Amounts are decimals and longs, so nothing drifts. A machine of any number
+    running sum of the deltas is the total; a day is idle where the total of active days over one day is 0. Amounts are decimals and longs, so nothing drifts. A machine of any number
     of rows is first folded to one row per day with map-side combine.
 
     Result: machine_id, activity_day (string), is_idle, and for each period p: error_count_<p>d, active_days_<p>d,
@@ -53,19 +53,22 @@ def rolling_totals(gold: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataF
     amounts = ["active", "errors", "vib_sum", "vib_n", "temp_sum", "temp_n"]
     live = daily.where(F.col("active") == 1).select("machine_id", "day", *[F.coalesce(F.col(a), F.lit(0).cast(dict(daily.dtypes)[a])).alias(a) for a in amounts])
     span = live.groupBy("machine_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    days = span.select("machine_id", F.explode(F.sequence("lo", "hi")).alias("day"), "hi")
+    days = span.select("machine_id", F.explode(F.sequence("lo", "hi")).alias("day"))
 
-    def deltas(sign: int, shift: int, period: int | None):
-        at = F.date_add("day", shift)
-        kept = [((F.col(a) if sign > 0 else -F.col(a)) if p == period else F.lit(0).cast(dict(live.dtypes)[a])).cast(dict(live.dtypes)[a]).alias(f"{a}_{p}") for p in periods for a in amounts]
-        return F.struct(at.alias("day"), F.lit(0).alias("is_active"), *kept)
+    # The total of one day tells idle days; it needs the activity alone.
+    sums = [("active", 1), *[(a, p) for p in periods for a in amounts if (a, p) != ("active", 1)]]
+    kinds = dict(live.dtypes)
 
-    plus = F.struct(F.col("day"), F.lit(1).alias("is_active"), *[F.col(a).alias(f"{a}_{p}") for p in periods for a in amounts])
-    events = live.select("machine_id", F.explode(F.array(plus, *[deltas(-1, p, p) for p in periods])).alias("e")).select("machine_id", "e.*")
-    folded = events.groupBy("machine_id", "day").agg(F.max("is_active").alias("is_active"), *[F.sum(f"{a}_{p}").alias(f"{a}_{p}") for p in periods for a in amounts])
+    def deltas(shift: int):
+        """What is added on a day, or taken away ``shift`` days after it."""
+        signed = [(F.col(a) if not shift else -F.col(a) if p == shift else F.lit(0)).cast(kinds[a]).alias(f"{a}_{p}") for a, p in sums]
+        return F.struct(F.date_add("day", shift).alias("day"), *signed)
+
+    events = live.select("machine_id", F.explode(F.array(*[deltas(shift) for shift in (0, *sorted({1, *periods}))])).alias("e")).select("machine_id", "e.*")
+    folded = events.groupBy("machine_id", "day").agg(*[F.sum(f"{a}_{p}").alias(f"{a}_{p}") for a, p in sums])
     running = Window.partitionBy("machine_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda a, p: F.sum(F.coalesce(F.col(f"{a}_{p}"), F.lit(0))).over(running)
-    summed = days.join(folded, ["machine_id", "day"], "left").select("machine_id", "day", (F.coalesce("is_active", F.lit(0)) == 0).alias("is_idle"), *[total(a, p).alias(f"{a}_{p}") for p in periods for a in amounts])
+    summed = days.join(folded, ["machine_id", "day"], "left").select("machine_id", "day", *[total(a, p).alias(f"{a}_{p}") for a, p in sums]).withColumn("is_idle", F.col("active_1") == 0)
     mean = lambda s, n, p: F.when(F.col(f"{n}_{p}") > 0, F.col(f"{s}_{p}").cast("double") / F.col(f"{n}_{p}"))
     out = [F.col("machine_id"), F.date_format("day", "yyyy-MM-dd").alias("activity_day"), F.col("is_idle")]
     for p in periods:
@@ -79,5 +82,5 @@ def rolling_totals(gold: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataF
 
 
 def idle_days(totals: DataFrame) -> DataFrame:
-    """The days that had to be added."""
+    """The days that had to be added: those with a one-day total of no activity."""
     return totals.where("is_idle").select("machine_id", "activity_day")

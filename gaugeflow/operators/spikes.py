@@ -21,7 +21,8 @@ RANGES: dict[str, tuple[float | None, float | None]] = {
 }
 SLICE_ROWS, HALO_ROWS, BLOCK_ROWS = 2_000, 200, 150_000
 GATE, ONE_SIDED, TWO_SIDED, PATIENCE = 5.0, 2.5, 6.5, 6
-STILL_LEAST, STILL_FACTOR = 7, 1.7
+#: Stuck sensors: see kalman.still().
+STILL_SETTLE, STILL_FACTOR, STILL_LEAST = 7, 2.2, 7
 
 FLAGS = "machine_id string, ts_us long, field string, kind string, value double, score double"
 
@@ -31,9 +32,7 @@ def score_series(y: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
     real = ~np.isnan(y)
     impossible = real & ((y < lo) | (y > hi))
     packed, _, row = kalman.pack(y, t)
-    length = kalman.still_runs(packed)
-    stuck = _unpack(length >= kalman.still_limit(packed, length, STILL_LEAST, STILL_FACTOR), row, False)
-    length = _unpack(length, row, 0)
+    stuck = _unpack(kalman.still(packed, STILL_SETTLE, STILL_FACTOR, STILL_LEAST), row, False)
     usual = np.where(real & ~impossible & ~stuck & np.isfinite(y), y, np.nan)
     packed, when, row = kalman.pack(usual, t)
     quantum = np.diff(np.sort(packed, axis=0), axis=0)
@@ -41,7 +40,7 @@ def score_series(y: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
     r, q = kalman.noise(packed, when, np.where(np.isfinite(quantum), quantum, 0))
     one, both = kalman.spikes(packed, when, r, q, GATE, PATIENCE)
     spike = _unpack((one > ONE_SIDED) & (both > TWO_SIDED), row, False) | (real & np.isinf(y) & ~impossible)
-    score = np.where(stuck, length, _unpack(both, row, 0.0))
+    score = np.where(stuck, 0.0, _unpack(both, row, 0.0))
     return impossible, stuck, spike, score
 
 
@@ -129,14 +128,16 @@ def implausible(bronze: DataFrame, fields: tuple[str, ...] = tuple(RANGES), slic
     Each machine and field is forecast by a local-level Kalman filter from before and from after; an update whose
     standardised innovation exceeds the gate is withheld. A reading is a spike if it stands apart from both forecasts on
     the same side; a lasting change of level agrees with one of them. A sensor is stuck where the variance of the
-    innovations of a following filter vanishes for longer than chance explains on this machine. Impossible values lie
-    outside RANGES. Noise, drift, resolution and chance repeats are estimated per machine and field.
+    innovations of a following filter vanishes over a window that is chosen per source, far longer than chance explains
+    there. Impossible values lie outside RANGES. Noise, drift, resolution and the chance of repeats are estimated per
+    machine and field; for machines cut into slices, per slice with its halo.
 
     Machines above ``slice_rows`` rows are cut into slices of time that overlap by about ``halo_rows`` readings, so a hot
     machine is spread over many tasks; the halo is longer than any limit of a run, so runs are recognised on either side
     of a cut. Tasks hold one bounded block of slices at a time.
 
-    Result: machine_id, ts_us, field, kind ('impossible', 'stuck', 'spike'), value, score.
+    Result: machine_id, ts_us, field, kind ('impossible', 'stuck', 'spike'), value, score (the standardised two-sided
+    innovation; 0 for stuck readings).
 
     Defined cases: rows with NULL machine or ts are left out; NULL and NaN are no readings and don't end a run; of
     copies with the same machine and ts the one ingested last counts; infinite values count as spikes; series of fewer

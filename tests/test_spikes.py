@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gaugeflow.functions import kalman
 from gaugeflow.operators import spikes
@@ -75,3 +76,29 @@ def test_filters_run_alike_alone_and_together():
     for i in range(5):
         alone = kalman.spikes(p[:, i : i + 1], w[:, i : i + 1], r[i : i + 1], q[i : i + 1], 5.0, 6)
         assert np.allclose(alone[0][:, 0], together[0][:, i]) and np.allclose(alone[1][:, 0], together[1][:, i])
+
+
+@pytest.mark.parametrize("repeat", [0.0, 0.3, 0.6, 0.8, 0.85, 0.9, 0.95])
+def test_coarse_walks_are_never_stuck_whatever_their_chance_of_repeats(repeat):
+    r = np.random.default_rng(int(repeat * 100))
+    n, width = 2_200, 24
+    steps = np.where(r.random((n, width)) < repeat, 0.0, r.choice([-0.5, 0.5], (n, width)))
+    y = 60 + np.cumsum(steps, axis=0)
+    t = np.repeat(np.arange(float(n))[:, None] * 60, width, axis=1)
+    inf = np.full(width, np.inf)
+    _, stuck, _, _ = spikes.score_series(y, t, -inf, inf)
+    assert stuck.sum() == 0
+
+
+@pytest.mark.parametrize("repeat", [0.0, 0.5, 0.8])
+def test_stuck_stretch_in_a_coarse_walk_is_found_whole(repeat):
+    r = np.random.default_rng(5)
+    y = 60 + np.cumsum(np.where(r.random((900, 6)) < repeat, 0.0, r.choice([-0.5, 0.5], (900, 6))), axis=0)
+    y[400:560] = y[400]
+    t = np.repeat(np.arange(900.0)[:, None] * 60, 6, axis=1)
+    inf = np.full(6, np.inf)
+    _, stuck, _, _ = spikes.score_series(y, t, -inf, inf)
+    for j in range(6):
+        first = 400 - int(np.argmax(y[400::-1, j] != y[400, j])) + 1
+        last = 560 + int(np.argmax(y[560:, j] != y[400, j])) if y[560, j] == y[400, j] else 560
+        assert np.flatnonzero(stuck[:, j]).tolist() == list(range(first, last))
