@@ -27,22 +27,37 @@ _SLICES = T.StructType(
 )
 
 
+def _slim(df: DataFrame, key: str, us: Column) -> DataFrame:
+    return df.select(F.col(key).cast("string").alias("_hot_key"), us.alias("_us")).where(F.col("_hot_key").isNotNull() & F.col("_us").isNotNull())
+
+
+def _hot(slim: DataFrame, target_rows: int) -> DataFrame | None:
+    """(_hot_key, _n, _limit) of the entities above the limit, at most MAX_SLICES; None if there is none."""
+    counts = slim.groupBy("_hot_key").agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.sum("_n").alias("total"))
+    limit = F.greatest(F.lit(target_rows), F.col("total") / F.lit(MAX_SLICES))
+    hot = [(r["_hot_key"], r["_n"], float(r["_limit"])) for r in with_row(counts, totals).where(F.col("_n") > limit).select("_hot_key", "_n", limit.alias("_limit")).collect()]
+    return slim.sparkSession.createDataFrame(hot, "_hot_key string, _n bigint, _limit double") if hot else None
+
+
+def hot_keys(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_ROWS) -> DataFrame:
+    """(_hot_key): the entities above the limit of slice_table, from one scan; at most MAX_SLICES of them."""
+    keys = _hot(_slim(df, key, us), target_rows)
+    return df.sparkSession.createDataFrame([], "_hot_key string") if keys is None else keys.select("_hot_key")
+
+
 def slice_table(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(_hot_key, _hot_lo, _hot_len, _hot_n) for each entity above the limit; empty when there is none.
 
     ``us`` is the time in microseconds. Two scans of two columns with map-side combine; NULL keys and times are left out.
     """
     spark = df.sparkSession
-    slim = df.select(F.col(key).cast("string").alias("_hot_key"), us.alias("_us")).where(F.col("_hot_key").isNotNull() & F.col("_us").isNotNull())
-    counts = slim.groupBy("_hot_key").agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("total"))
-    limit = F.greatest(F.lit(target_rows), F.col("total") / F.lit(MAX_SLICES))
-    hot = [(r["_hot_key"], r["_n"], r["_limit"]) for r in with_row(counts, totals).where(F.col("_n") > limit).select("_hot_key", "_n", limit.alias("_limit")).collect()]
-    if not hot:
+    slim = _slim(df, key, us)
+    keys = _hot(slim, target_rows)
+    if keys is None:
         return spark.createDataFrame([], _SLICES)
-    keys = F.broadcast(spark.createDataFrame([(k, n, float(lim)) for k, n, lim in hot], "_hot_key string, _n bigint, _limit double"))
     spans = (
-        slim.join(keys, "_hot_key")
+        slim.join(F.broadcast(keys), "_hot_key")
         .groupBy("_hot_key", "_n", "_limit")
         .agg(F.percentile_approx("_us", [0.001, 0.999], 10_000).alias("q"))
         .select("_hot_key", F.col("q")[0].alias("lo"), (F.col("q")[1] - F.col("q")[0]).alias("span"), F.ceil(F.col("_n") / F.col("_limit")).alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.functions.columns import flat
+from gaugeflow.functions.columns import flat, us
 from gaugeflow.operators import copies, late, pit, profile, regrid, rolling, spikes
 from gaugeflow.sources.tables import table, table_path
 from gaugeflow.streaming import seen
@@ -43,12 +43,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(output).where("not stays").select("row_id")
 
 
+def _raw_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bronze").select("machine_id", us("ts").alias("us"))
+
+
 def p5_windows(spark: SparkSession, d: str) -> DataFrame:
-    return late.kslack_windows(late.message_readings(table(spark, d, "bronze")))
+    return late.kslack_windows(late.message_readings(table(spark, d, "bronze")), sizes=_raw_sizes(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return late.late_outcomes(p5_windows(spark, d))
+    return late.late_outcomes(late.kslack_stages(late.message_readings(table(spark, d, "bronze")), sizes=_raw_sizes(spark, d)))
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,10 @@ DEFAULTS = {
 }
 
 
+#: Scratch paths made by this process and not yet deleted.
+_KEPT: set[str] = set()
+
+
 def build_session(app: str = "gaugeflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the zone pinned to UTC, AQE on and dynamic partition overwrite.
 
@@ -52,7 +56,9 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared scratch folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.add(path)
+    return path
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
@@ -60,3 +66,28 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system if it is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(spilled: DataFrame) -> None:
+    """Delete a spilled table that nothing needs any more."""
+    for path in {f.rsplit("/", 1)[0] for f in spilled.inputFiles()}:
+        _KEPT.discard(path)
+        delete_path(spilled.sparkSession, path)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete every scratch path this process has made; returns their number.
+
+    The results of earlier operators that read from them must have been written or collected before.
+    """
+    paths = list(_KEPT)
+    for path in paths:
+        delete_path(spark, path)
+        _KEPT.discard(path)
+    return len(paths)

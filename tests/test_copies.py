@@ -98,13 +98,13 @@ def outcomes(data):
 def test_late_outcomes_with_mixed_places(spark, seed):
     data = random_rows(250, seed)
     messages = late.message_readings(spark.createDataFrame(data, BRONZE))
-    assert rows(late.late_outcomes(late.kslack_windows(messages))) == outcomes(data)
+    assert rows(late.late_outcomes(late.kslack_stages(messages))) == outcomes(data)
 
 
 def test_late_bounds_are_inclusive(spark):
     data = [reading(1, minute=10, kafka=at(62)), reading(2, minute=20, kafka=at(61.99)), reading(3, minute=70, kafka=at(480)), reading(4, minute=80, kafka=at(479.9))]
     messages = late.message_readings(spark.createDataFrame(data, BRONZE))
-    assert rows(late.late_outcomes(late.kslack_windows(messages))) == [("M-000001", micros(at(0)), "corrected"), ("M-000001", micros(at(60)), "corrected"), ("M-000001", micros(at(60)), "cut_off")]
+    assert rows(late.late_outcomes(late.kslack_stages(messages))) == [("M-000001", micros(at(0)), "corrected"), ("M-000001", micros(at(60)), "corrected"), ("M-000001", micros(at(60)), "cut_off")]
 
 
 def test_slices_give_the_same_windows(spark):
