@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.session import spill
+from gaugeflow.session import discard, spill
 from gaugeflow.streaming.seen import ARCHIVE, LATE, LINK
 
 
@@ -18,13 +18,19 @@ def components(links: DataFrame, left: str = "r1", right: str = "r2", max_rounds
     pairs = links.select(F.col(left).alias("u"), F.col(right).alias("v"))
     edges = spill(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     labels = spill(edges.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("comp")), "labels")
+    spilled = [labels]
     for _ in range(max_rounds):
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("near"))
         lower = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         target = lower.select(F.col("node").alias("comp"), F.col("comp").alias("jump"))
         nxt = spill(lower.join(target, "comp", "left").select("node", F.least("comp", F.coalesce("jump", "comp")).alias("comp"), "old"), "labels")
         labels = nxt.select("node", "comp")
-        if nxt.where(F.col("comp") != F.col("old")).isEmpty():
+        settled = nxt.where(F.col("comp") != F.col("old")).isEmpty()
+        for gone in spilled:
+            discard(gone)
+        spilled = [nxt]
+        if settled:
+            discard(edges)
             return labels
     raise RuntimeError("components did not settle")
 

@@ -3,12 +3,20 @@
 Every delivery carries up to two identifiers: its place in the log (topic, partition, offset) and its machine and time.
 The state is kept in blocks of identifiers (a range of offsets of one partition; an hour of event time in one hash
 bucket), so one call of the state function settles thousands of identifiers with sorted arrays. Two deliveries that
-share an identifier always meet in the same block.
+share an identifier always meet in the same block. The state lives in RocksDB, off the heap.
 
-A block is closed once the watermark has passed everything in it: its identifiers go to the archive, and a marker stays
-in the state. Deliveries that come to a closed block are handed out as late and looked up in the archive instead, so an
-expired state costs no correctness. Each micro-batch writes its output to a folder named by its id, which a repeated
-batch overwrites; offsets and state are committed with it.
+A block is closed by an event-time timer once the watermark has passed everything in it, and its identifiers go to the
+archive. A block of event time is known to be closed by its key alone and keeps no state; a block of offsets keeps a
+marker of a few bytes for a while (``forget``). Deliveries that come to a closed block are handed out as late and looked
+up in the archive instead, so an expired state costs no correctness. Whoever comes after the marker opens the block a
+second time, which the output shows, and such blocks are looked up as a whole.
+
+The clock of the watermark travels on rows of its own. Spark drops rows that are older than the watermark before a state
+function with event-time timers; identifiers have no clock and are never dropped, and the rows with a clock end behind
+the watermark.
+
+Each micro-batch writes its output to a folder named by its id, which a repeated batch overwrites; offsets and state are
+committed with it.
 """
 
 from __future__ import annotations
@@ -23,21 +31,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeflow.session import scratch_path
+from gaugeflow.session import delete_path, scratch_path
 
 HOUR_US = 3_600_000_000
-LINK, LATE, ARCHIVE = 0, 1, 2
+LINK, LATE, ARCHIVE, OPEN = 0, 1, 2, 3
 MERGE_ROWS = 200_000
+#: Identifiers that a block of event time should hold; from it follows the number of buckets of an hour.
+BLOCK_IDS = 20_000
+#: Offsets in a block of offsets.
+BLOCK_OFFSETS = 16_384
 
 OUTPUT = "tag int, kind string, space string, a long, b long, r1 long, i1 long, o1 long, r2 long, i2 long, o2 long"
 STATE = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("until_ms", T.LongType()), T.StructField("ids", T.BinaryType())])
 
 
-def identifiers(df: DataFrame, buckets: int, block_offsets: int = 16_384) -> DataFrame:
+def identifiers(df: DataFrame, buckets: int, block_offsets: int = BLOCK_OFFSETS) -> DataFrame:
     """One row per delivery and identifier: kind 'p' (place in the log) or 'm' (machine and time).
 
     An identifier with a NULL part is none. Columns: kind, space, block, bucket (the state's key), a, b (the identifier
-    within its space), row_id, ing, off, clock.
+    within its space), row_id, ing, off, at_ms (when it was delivered); and one row of kind 't' per delivery with nothing
+    but its time as ``clock``.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     machine = F.xxhash64("machine_id")
@@ -57,11 +70,13 @@ def identifiers(df: DataFrame, buckets: int, block_offsets: int = 16_384) -> Dat
         us.alias("a"),
         machine.alias("b"),
     )
+    tick = F.struct(F.lit("t").alias("kind"), F.lit(None).cast("string").alias("space"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
     has_place = F.col("_topic").isNotNull() & F.col("_partition").isNotNull() & F.col("_offset").isNotNull()
     has_moment = F.col("machine_id").isNotNull() & F.col("ts").isNotNull()
-    ids = F.array_compact(F.array(F.when(has_place, place), F.when(has_moment, moment)))
-    clock = F.coalesce(F.col("_kafka_ts"), F.col("_ingest_ts")).cast("timestamp")
-    return df.select(F.explode(ids).alias("x"), "row_id", F.unix_micros(F.col("_ingest_ts").cast("timestamp")).alias("ing"), F.col("_offset").alias("off"), clock.alias("clock")).select("x.*", "row_id", "ing", "off", "clock")
+    at = F.coalesce(F.col("_kafka_ts"), F.col("_ingest_ts")).cast("timestamp")
+    ids = F.array_compact(F.array(F.when(has_place, place), F.when(has_moment, moment), F.when(at.isNotNull(), tick)))
+    rows = df.select(F.explode(ids).alias("x"), "row_id", F.unix_micros(F.col("_ingest_ts").cast("timestamp")).alias("ing"), F.col("_offset").alias("off"), at.alias("at"))
+    return rows.select("x.*", "row_id", "ing", "off", F.unix_millis("at").alias("at_ms"), F.when(F.col("x.kind") == "t", F.col("at")).alias("clock"))
 
 
 #: NULL ranks lowest in the choice of the row that stays.
@@ -96,16 +111,24 @@ def _frame(tag: int, key: tuple, rows: np.ndarray) -> pd.DataFrame:
     return out
 
 
-def _settle(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState, timer_ms: int) -> Iterator[pd.DataFrame]:
+def _settle(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState, forget_ms: int) -> Iterator[pd.DataFrame]:
     closed, until, blob = state.get if state.exists else (False, 0, b"")
+    clock = state.getCurrentWatermarkMs()
+    moments = key[0] == "m"
+    hour_end = (int(key[2]) + 1) * HOUR_US // 1000
     if state.hasTimedOut:
-        if not closed and state.getCurrentWatermarkMs() > until:
-            rows = np.frombuffer(blob, dtype="int64").reshape(-1, 5)
+        if closed or moments:
+            state.remove()
+        else:
             state.update((True, until, b""))
-            yield _frame(ARCHIVE, key, rows)
-        elif not closed:
-            state.setTimeoutDuration(timer_ms)
+            state.setTimeoutTimestamp(max(until, clock) + forget_ms)
+        if not closed:
+            yield _frame(ARCHIVE, key, np.frombuffer(blob, dtype="int64").reshape(-1, 5))
         return
+    # An hour that the watermark has passed is closed for all; where it still has state, its timer fires after this batch.
+    closed = closed or (moments and not state.exists and clock > hour_end)
+    if not closed and not state.exists and not moments:
+        yield _frame(OPEN, key, np.array([[key[2], 0, LOWEST, LOWEST, LOWEST]], dtype=np.int64))
     seen = np.frombuffer(blob, dtype="int64").reshape(-1, 5)
     pending: list[np.ndarray] = []
     waiting = 0
@@ -116,9 +139,9 @@ def _settle(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupStat
         if closed:
             yield _frame(LATE, key, rows)
             continue
-        latest = pdf["clock"].max()
+        latest = pdf["at_ms"].max()
         if pd.notna(latest):
-            until = max(until, int(latest.timestamp() * 1000))
+            until = max(until, int(latest))
         pending.append(rows)
         waiting += len(rows)
         if waiting >= MERGE_ROWS:
@@ -126,53 +149,123 @@ def _settle(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupStat
             pending, waiting = [], 0
             yield _frame(LINK, key, links)
     if closed:
+        if state.exists:
+            state.setTimeoutTimestamp(max(until, clock) + forget_ms)
         return
     if pending:
         seen, links = merge_seen(seen, np.concatenate(pending))
         yield _frame(LINK, key, links)
-    if key[0] == "m":
-        until = max(until, (int(key[2]) + 1) * HOUR_US // 1000)
+    if moments:
+        until = hour_end
     state.update((False, until, np.ascontiguousarray(seen).tobytes()))
-    state.setTimeoutDuration(timer_ms)
+    state.setTimeoutTimestamp(max(until, clock) + 1)
 
 
-def seen_links(deliveries: DataFrame, buckets: int, watermark: str = "6 hours", timer_ms: int = 60_000) -> DataFrame:
-    """The stateful stream: links between deliveries of one identifier, late deliveries and archived identifiers."""
+def seen_links(deliveries: DataFrame, buckets: int, watermark: str = "6 hours", forget: str = "1 day", block_offsets: int = BLOCK_OFFSETS) -> DataFrame:
+    """The stateful stream: links between deliveries of one identifier, late deliveries, archived identifiers, opened blocks."""
+    forget_ms = int(span_seconds(forget) * 1000)
 
     def settle(key, pdfs, state):  # noqa: ANN001, ANN202
-        return _settle(key, pdfs, state, timer_ms)
+        return _settle(key, pdfs, state, forget_ms)
 
     return (
-        identifiers(deliveries, buckets)
+        identifiers(deliveries, buckets, block_offsets)
         .withWatermark("clock", watermark)
+        .where(F.col("clock").isNull())
         .groupBy("kind", "space", "block", "bucket")
-        .applyInPandasWithState(settle, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(settle, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def run_seen_links(spark: SparkSession, path: str, watermark: str = "6 hours", bytes_per_batch: int = 64 << 20, timer_ms: int = 60_000) -> DataFrame:
-    """Run the stream over the files of a folder, or one file, as far as they go; returns its output table."""
+def span_seconds(text: str) -> float:
+    """Seconds of '<n> <unit>' with second, minute, hour or day."""
+    n, unit = text.split()
+    return float(n) * {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400}[unit.rstrip("s")]
+
+
+NEEDED = ("row_id", "machine_id", "ts", "_topic", "_partition", "_offset", "_kafka_ts", "_ingest_ts")
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def replay(stored: DataFrame, files: int, name: str = "replay") -> str:
+    """A folder with the deliveries of a stored table in the order of their ingestion, for a stream to read.
+
+    The file source takes files by the time of their change, so the files get times in their order; where a file system
+    keeps none, batches mix times, which costs state but no correctness.
+    """
+    spark = stored.sparkSession
+    path = scratch_path(spark, name)
+    order = F.coalesce(F.col("_ingest_ts"), F.col("_kafka_ts"))
+    stored.select(*NEEDED).repartitionByRange(files, order).write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().getName(), f) for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("part-"))
+    newest = max((f.getModificationTime() for _, f in found), default=0)
+    for i, (_, f) in enumerate(found):
+        fs.setTimes(f.getPath(), newest - (len(found) - i) * 1000, -1)
+    return path
+
+
+def run_seen_links(spark: SparkSession, path: str, watermark: str = "6 hours", batches: int = 16, bytes_per_batch: int = 4 << 30, files_per_batch: int = 4, forget: str = "1 day", block_ids: int = BLOCK_IDS, block_offsets: int = BLOCK_OFFSETS) -> DataFrame:
+    """Replay a stored table through the stream in order of ingestion; returns the stream's output table.
+
+    There are at least ``batches`` micro-batches, and more where one would exceed ``bytes_per_batch``. The replayed copy and
+    the state are deleted at the end.
+    """
+    stored = spark.read.parquet(path)
+    size = sum(_sizes(spark, stored))
+    files = max(batches, -(-size // bytes_per_batch)) * files_per_batch
+    peak = stored.where(F.col("ts").isNotNull()).groupBy(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / HOUR_US).alias("h")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(8, -(-int(peak) // block_ids))
+    source_path = replay(stored, files)
     out, state = scratch_path(spark, "seen"), scratch_path(spark, "seen-state")
-    schema = spark.read.parquet(path).schema
-    # As a pattern, the path may be a folder or a single file.
-    path = f"{path[:-1]}[{path[-1]}]"
-    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(path)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = {"spark.sql.streaming.minBatchesToRetain": "2", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(k, None) for k in own}
+    before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
-    for k, v in own.items():
+    for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
     try:
-        query = seen_links(source, buckets, watermark, timer_ms).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        source = spark.readStream.schema(stored.select(*NEEDED).schema).option("maxFilesPerTrigger", str(files_per_batch)).parquet(source_path)
+        query = seen_links(source, buckets, watermark, forget, block_offsets).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    query.awaitTermination()
+    ran = bool(query.lastProgress)
+    for gone in (source_path, state):
+        delete_path(spark, gone)
     table = T._parse_datatype_string(OUTPUT)
-    if not query.lastProgress:
+    if not ran:
         return spark.createDataFrame([], table)
-    return spark.read.schema(table).parquet(out + "/batch=*")
+    output = spark.read.schema(table).parquet(out + "/batch=*")
+    again = reopened(output)
+    return output if again.isEmpty() else output.unionByName(whole_blocks(stored, again, buckets, block_offsets))
+
+
+def _sizes(spark: SparkSession, stored: DataFrame) -> list[int]:
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in stored.inputFiles()]
+    return [p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths]
+
+
+def reopened(output: DataFrame) -> DataFrame:
+    """(space, block) of the blocks of offsets that were opened more than once, as their marker had been forgotten."""
+    return output.where(F.col("tag") == OPEN).groupBy("space", F.col("a").alias("block")).agg(F.count("*").alias("n")).where("n > 1").select("space", "block")
+
+
+def whole_blocks(deliveries: DataFrame, blocks: DataFrame, buckets: int, block_offsets: int = BLOCK_OFFSETS) -> DataFrame:
+    """Links within blocks of offsets, looked up over all deliveries: output rows of the stream."""
+    own = identifiers(deliveries, buckets, block_offsets).where("kind = 'p'").join(blocks, ["space", "block"], "left_semi").select("kind", "space", "a", "b", F.struct(F.col("row_id").alias("r"), F.col("ing").alias("i"), F.col("off").alias("o")).alias("d"))
+    first = own.groupBy("kind", "space", "a", "b").agg(F.min("d").alias("f"))
+    lowest = lambda c: F.coalesce(F.col(c), F.lit(int(LOWEST)))
+    hits = own.join(first, ["kind", "space", "a", "b"]).where("d.r <> f.r")
+    return hits.select(F.lit(LINK).alias("tag"), "kind", "space", "a", "b", F.col("f.r").alias("r1"), lowest("f.i").alias("i1"), lowest("f.o").alias("o1"), F.col("d.r").alias("r2"), lowest("d.i").alias("i2"), lowest("d.o").alias("o2"))

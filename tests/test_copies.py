@@ -54,7 +54,7 @@ def stream(spark, folder, data, parts=1, **kw):
     step = -(-len(data) // parts) if data else 1
     for k in range(parts):
         spark.createDataFrame(data[k * step : (k + 1) * step], BRONZE).coalesce(1).write.mode("append").parquet(folder)
-    return copies.copies(seen.run_seen_links(spark, folder, **kw)).where("not stays")
+    return copies.copies(seen.run_seen_links(spark, folder, **{"batches": 3, "files_per_batch": 2, **kw})).where("not stays")
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -63,10 +63,27 @@ def test_against_union_find(spark, tmp_path, seed):
     assert sorted(r[0] for r in rows(stream(spark, str(tmp_path / "b"), data), "row_id")) == removed(data)
 
 
-def test_expired_state_is_backed_by_the_archive(spark, tmp_path):
+@pytest.mark.parametrize("forget", ["1 day", "1 second"])
+def test_expired_state_is_backed_by_the_archive(spark, tmp_path, forget):
+    """Identifiers expire by event time; late ones are looked up, and blocks opened again after their marker is gone."""
     data = random_rows(200, 5)
-    got = stream(spark, str(tmp_path / "b"), data, parts=5, watermark="1 minute", bytes_per_batch=1, timer_ms=1)
-    assert sorted(r[0] for r in rows(got, "row_id")) == removed(data)
+    data += [(10_000 + i, *r[1:12], at(600 + i)) for i, r in enumerate(data[:40])]
+    folder = str(tmp_path / "b")
+    spark.createDataFrame(data, BRONZE).coalesce(1).write.parquet(folder)
+    output = seen.run_seen_links(spark, folder, watermark="1 minute", batches=8, files_per_batch=1, forget=forget, block_offsets=8)
+    tags = {r["tag"]: r["count"] for r in output.groupBy("tag").count().collect()}
+    assert tags[seen.ARCHIVE] > 0 and tags[seen.LATE] > 0 and tags[seen.OPEN] > 0
+    assert seen.reopened(output).isEmpty() == (forget == "1 day")
+    assert sorted(r[0] for r in rows(copies.copies(output).where("not stays"), "row_id")) == removed(data)
+
+
+def test_rows_older_than_the_watermark_are_not_dropped(spark, tmp_path):
+    data = [reading(i, minute=i * 30.0) for i in range(20)]
+    data += [reading(100 + i, minute=i * 30.0, offset=i, kafka=at(i * 30.0), ingest=at(2000 + i)) for i in range(20)]
+    folder = str(tmp_path / "b")
+    spark.createDataFrame(data, BRONZE).write.parquet(folder)
+    output = seen.run_seen_links(spark, folder, watermark="1 minute", batches=8, files_per_batch=1)
+    assert sorted(r[0] for r in rows(copies.copies(output).where("not stays"), "row_id")) == list(range(20))
 
 
 def test_third_row_joins_and_latest_stays(spark, tmp_path):
