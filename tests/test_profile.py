@@ -72,3 +72,31 @@ def test_all_missing_and_empty(spark):
 def test_mask(spark):
     (r,) = spark.createDataFrame([("Ab-09 é９",)], "s string").select(profile.mask(F.col("s")).alias("m")).collect()
     assert r["m"] == "Aa-99 é９"
+
+
+def test_form_collapses_runs(spark):
+    rows = spark.createDataFrame([("12.5",), ("1234.567",), ("AB-7cd",)], "s string").select(profile.form(F.col("s")).alias("m")).collect()
+    assert [r["m"] for r in rows] == ["9+.9", "9+.9+", "A+-9a+"]
+
+
+def test_many_forms_are_ranked_by_frequency(spark):
+    """A free-text column has as many forms as values; the regular one is still found, and nothing ranks them one by one."""
+    data = loads(6, 200)
+    for i, row in enumerate(data):
+        if row[0] == 3:
+            row[1] = "x" * (i % 7 + 1) + "-" * (i % 5) + "é"
+    got = found(spark, data)
+    assert got == {(3, "machine_id", "pattern")}
+
+
+def test_heap_of_few_values_and_shift_are_told_by_masks(spark):
+    data = loads(8, 400)
+    for i, row in enumerate(data):
+        if row[0] == 2:
+            row[2] = (44.5, 45.5, 46.5, 47.5, 48.5)[i % 5]
+        if row[0] == 5:
+            row[3] = row[3] / 2
+    rules = spark.createDataFrame(RULES, "column_name string, nullable boolean, min_value double, max_value double")
+    report = {(r["load_id"], r["column_name"]): r for r in profile.profile_report(spark.createDataFrame(data, SILVER), rules).collect()}
+    assert report[2, "lat"]["heap"] > 0.15 and report[5, "speed"]["mask_shift"] > 0.3
+    assert found(spark, data) == {(2, "lat", "distribution"), (5, "speed", "distribution")}
