@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 256
+#: Ranges a group is cut into where nothing is known of its size, and values a range should hold where something is.
+LEVELS, RANGE_VALUES = 1_024, 500_000
+
+
+def levels_for(values: int) -> int:
+    """How many ranges that number of values should be cut into."""
+    return min(65_536, max(64, values // RANGE_VALUES))
 
 
 def running_sums(df: DataFrame, group: tuple[str, ...], order: str, sums: tuple[str, ...], levels: int = LEVELS) -> DataFrame:
     """Add <s>_before for each of ``sums``: the sum over the rows of the group with a lower ``order``.
 
-    ``df`` has one row per group and value of ``order``. Values are cut into ``levels`` ranges at approximate quantiles;
-    the totals of the ranges are summed first (a table of at most ``levels`` + 1 rows per group), then each range on its
-    own, so that a group of any size is spread over many tasks.
+    ``df`` has one row per group and value of ``order``. Values are cut into about ``levels`` ranges at approximate
+    quantiles, found in two steps of the root of that many comparisons; the totals of the ranges are summed first (a table
+    of one row per range and group), then each range on its own, so that a group of any size is spread over many tasks.
     """
     keys = list(group) or ["_all"]
     if not group:
         df = df.withColumn("_all", F.lit(0))
-    steps = [i / levels for i in range(1, levels)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), steps, 10_000).alias("_edges"))
-    cut = df.join(F.broadcast(edges), keys).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(order)))).drop("_edges")
+    side = max(2, math.isqrt(levels - 1) + 1)
+    steps = [i / side**2 for i in range(1, side**2)]
+    edges = df.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), steps, max(10_000, 4 * side**2)).alias("_edges"))
+    edges = edges.withColumn("_coarse", F.filter("_edges", lambda _, i: (i + 1) % side == 0))
+    below = lambda e: F.size(F.filter(e, lambda x: x < F.col(order)))
+    cut = df.join(F.broadcast(edges), keys).withColumn("_c", below(F.col("_coarse")))
+    cut = cut.withColumn("_part", F.col("_c") * side + below(F.slice("_edges", F.col("_c") * side + 1, F.lit(side - 1)))).drop("_edges", "_coarse", "_c")
     totals = cut.groupBy(*keys, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_p_{s}") for s in sums])

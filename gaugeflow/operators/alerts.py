@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,23 +56,37 @@ def throttle(alerts: DataFrame, prior: DataFrame | None, cooldown: str = COOLDOW
     return top.join(last, "machine_id", "left").where(F.col("_last").isNull() | (waited >= int(seconds_of(cooldown) * 1_000_000))).drop("_last")
 
 
-def prior_since(history: DataFrame, newest: Column, cooldown: str = COOLDOWN, time: str = "event_timestamp") -> DataFrame:
-    """Of the alert history what can still matter: two columns, pruned at the scan by time."""
-    return history.where(us(time) >= newest - int(seconds_of(cooldown) * 1_000_000)).select("machine_id", time)
-
-
-def alert_rows(df: DataFrame, scored_col: Column, model: str, alias: str, version: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Scored records in the alert layout, with the model and the lineage of the message."""
-    lineage = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in ("_topic", "_partition", "_offset")]
-    return df.select(
-        "machine_id",
-        F.col("ts").alias("event_timestamp"),
-        scored_col.cast("double").alias("anomaly_score"),
-        F.lit(threshold).alias("threshold"),
-        F.lit(model).alias("model"),
-        F.lit(alias).alias("model_alias"),
-        F.lit(version).alias("model_version"),
-        "event",
-        "error_code",
-        *lineage,
-    )
+@dataclass(frozen=True)
+class ModelTag:
+    """Which model an alert comes from."""
+
+    name: str = "zscore"
+    alias: str = "champion"
+    version: str = "1"
+
+
+#: The columns of a stored alert, in order; alert_emitted_ts follows.
+ALERT_COLUMNS = ("machine_id", "event_timestamp", "anomaly_score", "alert_threshold", "model_name", "model_alias", "model_version", "event", "error_code", "_topic", "_partition", "_offset")
+
+
+def alert_rows(scored: DataFrame, model: ModelTag, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that reach the threshold in the layout of alerts, with the model and the lineage of the message.
+
+    ``scored`` has anomaly_score and the parsed record; what it lacks is NULL, further columns are dropped.
+    """
+    known = {"event_timestamp": F.col("ts"), "anomaly_score": F.col("anomaly_score").cast("double"), "alert_threshold": F.lit(float(threshold)), "model_name": F.lit(model.name), "model_alias": F.lit(model.alias), "model_version": F.lit(model.version)}
+    types = {"event": "string", "error_code": "int", "_topic": "string", "_partition": "int", "_offset": "long"}
+
+    def column(c: str) -> Column:
+        if c in known:
+            return known[c].alias(c)
+        return F.col(c) if c in scored.columns else F.lit(None).cast(types[c]).alias(c)
+
+    return above_threshold(scored, threshold).select(*[column(c) for c in ALERT_COLUMNS])
+
+
+def last_alerts(alerts: DataFrame, before: DataFrame | None, time: str = "event_timestamp") -> DataFrame:
+    """(machine_id, event_timestamp): the latest alert of each machine, from new alerts and the same table before."""
+    new = alerts.select("machine_id", time)
+    both = new if before is None else new.unionByName(before)
+    return both.where(F.col("machine_id").isNotNull()).groupBy("machine_id").agg(F.max(time).alias(time))

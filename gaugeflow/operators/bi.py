@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import us
 from gaugeflow.schema import TASKS
 
 DAY_US = 86_400_000_000
-HEALTH = ("vibration_mean", "motor_temp_mean", "cpu_usage_mean", "battery_soh_mean", "error_count", "failure_label")
+#: The columns of the health table after machine_id and last_window_end, in order.
+HEALTH = ("battery_soh_mean", "vibration_mean", "vibration_max", "motor_temp_mean", "error_count", "failure_label")
 
 
 def recent(gold: DataFrame, days: float, time: str = "window_end") -> DataFrame:
@@ -99,7 +100,7 @@ def register(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-#: Dashboard queries over the tables of bi_tables and the window table.
+#: Dashboard queries over the tables of bi_tables and the window table.
 DASHBOARD: dict[str, str] = {
     "window_count": "SELECT count(*) AS n FROM gold_windows",
     "kpi_machines": "SELECT n_machines FROM fleet_kpis LIMIT 1",
@@ -130,9 +131,14 @@ def write_tables(tables: dict[str, DataFrame], url: str | None = None, folder: s
     """Replace the tables in a database (``url``) or folder; returns their row counts. A dry run only counts."""
     counts = {}
     for name, df in tables.items():
-        if not dry_run and url:
-            df.write.jdbc(url, name, mode="overwrite", properties=options)
-        elif not dry_run and folder:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        counts[name] = df.count()
+        if dry_run or not (url or folder):
+            counts[name] = df.count()
+            continue
+        seen = Observation(name)
+        watched = df.observe(seen, F.count("*").alias("n"))
+        if url:
+            watched.write.jdbc(url, name, mode="overwrite", properties=options)
+        else:
+            watched.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts[name] = int(seen.get["n"])
     return counts

@@ -24,7 +24,7 @@ def insert_absent(target: DataFrame, source: DataFrame, keys: tuple[str, ...] =
 
     A NULL key matches nothing, so such rows are always added.
     """
-    return source.join(target.select(*keys).distinct(), list(keys), "left_anti")
+    return source.join(target.select(*keys), list(keys), "left_anti")
 
 
 def merged(target: DataFrame, source: DataFrame, keys: tuple[str, ...] = ("machine_id", "ts")) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import clip, ratio
-from gaugeflow.schema import DURATIONS, METRICS
+from gaugeflow.schema import DURATIONS, METRICS, require
+from gaugeflow.sources.files import replace_table
 
 #: Columns that get lags and rates of change.
 LAG_SOURCES = ("vibration_mean_5m", "motor_temp_mean_5m", "battery_soh_mean_5m", "cpu_usage_mean_5m")
 LAGS = (1, 3)
+GOLD_KEYS = ("machine_id", "window_end", "window_duration", "failure_label")
 
 
 def pivot(gold: DataFrame, anchor: str = "5m") -> DataFrame:
@@ -45,11 +47,17 @@ def add_uptime(wide: DataFrame) -> DataFrame:
     return wide.withColumn("uptime_ratio_5m", clip(1 - ratio(F.col("error_count_5m"), F.col("record_count_5m")), 0.0, 1.0))
 
 
-def feature_dataset(gold: DataFrame) -> DataFrame:
-    """Pivot, lags, rates and uptime; the aggregation and the windows share the machine as partitioning key."""
-    return add_uptime(add_rates(add_lags(pivot(gold))))
+def feature_dataset(gold: DataFrame, ordered: bool = False) -> DataFrame:
+    """Pivot, lags, rates and uptime; the aggregation and the windows share the machine as partitioning key.
+
+    ``ordered`` sorts the result by machine and time, for an export; a table that is only stored needs no order.
+    """
+    require(gold, *GOLD_KEYS, *METRICS)
+    out = add_uptime(add_rates(add_lags(pivot(gold))))
+    return out.orderBy("machine_id", "event_timestamp") if ordered else out
 
 
-def stamped(features: DataFrame) -> DataFrame:
-    """The features with created_timestamp, the time they became known."""
-    return features.withColumn("created_timestamp", F.current_timestamp())
+def write_offline(gold: DataFrame, path: str) -> DataFrame:
+    """Build the feature table with created_timestamp, the time it became known, and replace the stored one."""
+    replace_table(feature_dataset(gold).withColumn("created_timestamp", F.current_timestamp()), path)
+    return gold.sparkSession.read.parquet(path)

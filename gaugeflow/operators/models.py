@@ -10,55 +10,69 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.columns import finite
+from gaugeflow.functions.columns import finite, with_row
 from gaugeflow.functions.running import exact_quantiles
 from gaugeflow.operators.alerts import align
+from gaugeflow.operators.evalmetrics import ranking_metrics, regression_metrics, threshold_metrics, time_split3
 from gaugeflow.schema import TASKS, Task, numeric_columns
+from gaugeflow.session import discard, spill
+from gaugeflow.sources.files import replace_table
 
-ROUNDS = 60
+#: Rounds, depth, rate and subsampling of the boosted trees.
+ROUNDS, RATE, SUBSAMPLE = 300, 0.05, 0.9
+#: Early stopping: the training ends when so many rounds have not lowered the loss on the validation rows.
+PATIENCE = 30
 #: Bounds of the rows a forest is fitted on: rows per tree and trees.
 FOREST_ROWS, FOREST_TREES = 256, 200
-SENSORS = ("lat", "lon", "speed", "accel_x", "accel_y", "accel_z", "vibration", "battery_soh", "motor_temp", "cpu_usage")
+#: The fields of the raw-sensor forest with the normal operation it is fitted on.
+RAW_SENSORS: dict[str, tuple[str, float, float]] = {
+    "lat": ("uniform", -90, 90),
+    "lon": ("uniform", -180, 180),
+    "speed": ("uniform", 0, 80),
+    "accel_x": ("normal", 0, 0.5),
+    "accel_y": ("normal", 0, 0.5),
+    "accel_z": ("normal", 9.8, 0.3),
+    "vibration": ("uniform", 0, 2),
+    "battery_soh": ("uniform", 70, 100),
+    "motor_temp": ("uniform", 20, 90),
+    "cpu_usage": ("uniform", 0, 80),
+}
+RAW_ROWS, RAW_TREES = 5_000, 100
+
+
+def _stages(booster: GBTClassifier | GBTRegressor, features: list[str]) -> Pipeline:
+    filled = [f"{c}__f" for c in features]
+    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), booster])
 
 
 def classifier(features: list[str], label: str, weight: str | None = "weight", rounds: int = ROUNDS, seed: int = 11) -> Pipeline:
     """Median imputation and gradient-boosted trees for a boolean label."""
-    filled = [f"{c}__f" for c in features]
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=5, stepSize=0.05, seed=seed)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), gbt])
+    gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=5, stepSize=RATE, subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(SUBSAMPLE), seed=seed)
+    return _stages(gbt.setWeightCol(weight) if weight else gbt, features)
 
 
 def regressor(features: list[str], target: str, rounds: int = ROUNDS, seed: int = 11) -> Pipeline:
     """Median imputation and gradient-boosted trees for a number."""
-    filled = [f"{c}__f" for c in features]
-    gbt = GBTRegressor(labelCol=target, featuresCol="features", maxIter=rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.9, seed=seed)
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), gbt])
-
-
-def score_model(model: PipelineModel, df: DataFrame, task: Task) -> DataFrame:
-    """Add the task's output column: the probability of the label, or the prediction."""
-    done = model.transform(df)
-    value = vector_to_array("probability")[1] if task.kind == "probability" else F.col("prediction")
-    return done.withColumn(task.output, value).select(*df.columns, task.output)
+    return _stages(GBTRegressor(labelCol=target, featuresCol="features", maxIter=rounds, maxDepth=3, stepSize=RATE, subsamplingRate=SUBSAMPLE, seed=seed), features)
 
 
 @dataclass
 class IsolationForest:
-    """Isolation trees over a bounded sample; a tree is four arrays (feature, cut, left, right) with path ends as sizes."""
+    """Median imputation, scaling and isolation trees over a bounded sample; a tree is arrays (feature, cut, left, right, path)."""
 
     features: list[str]
     medians: list[float]
     trees: list[dict] = field(default_factory=list)
     rows: int = FOREST_ROWS
+    means: list[float] = field(default_factory=list)
+    scales: list[float] = field(default_factory=list)
 
     @staticmethod
     def fit(sample: pd.DataFrame, features: list[str], trees: int = FOREST_TREES, rows: int = FOREST_ROWS, seed: int = 11, medians: list[float] | None = None) -> IsolationForest:
@@ -69,7 +83,11 @@ class IsolationForest:
         if medians is None:
             medians = np.nan_to_num(np.nanmedian(x, axis=0)).tolist() if len(x) else [0.0] * len(features)
         x = np.where(np.isnan(x), np.array(medians), x)
-        out = IsolationForest(features, medians, rows=min(rows, max(2, len(x))))
+        spread = x.std(axis=0) if len(x) else np.ones(len(features))
+        out = IsolationForest(features, medians, rows=min(rows, max(2, len(x))), means=(x.mean(axis=0) if len(x) else np.zeros(len(features))).tolist(), scales=np.where(spread > 0, spread, 1.0).tolist())
+        if not len(x):
+            return out
+        x = (x - np.array(out.means)) / np.array(out.scales)
         depth = math.ceil(math.log2(max(2, out.rows)))
         for _ in range(trees):
             pick = x[rng.choice(len(x), size=out.rows, replace=len(x) < out.rows)]
@@ -78,7 +96,7 @@ class IsolationForest:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): towards 1 for rows that are isolated early."""
-        x = np.where(np.isfinite(x), x, np.array(self.medians))
+        x = (np.where(np.isfinite(x), x, np.array(self.medians)) - np.array(self.means)) / np.array(self.scales)
         total = np.zeros(len(x))
         for t in self.trees:
             total += _path(t, x)
@@ -161,25 +179,165 @@ def batch_score(scored: DataFrame, task: Task, model: str, alias: str) -> DataFr
     return scored.select("machine_id", "event_timestamp", F.col(task.output).cast("double").alias(task.output), F.lit(model).alias("model"), F.lit(alias).alias("alias"))
 
 
-def train(task_name: str, features: DataFrame, label: str | None = None, rounds: int = ROUNDS) -> tuple[object, list[str]]:
-    """(model, feature names) for a task of the registry; rows without label don't train."""
+@dataclass
+class Model:
+    """A fitted model of a task: score() adds the task's output column, whatever the kind of model."""
+
+    task: Task
+    features: list[str]
+    fitted: PipelineModel | IsolationForest
+    rounds: int = 0
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """The frame with the probability of the label, the anomaly score or the prediction; absent features count as NULL."""
+        if self.task.kind == "anomaly":
+            return score_forest(df, self.fitted)
+        lacking = {c: F.lit(None).cast("double") for c in self.features if c not in df.columns}
+        marked = df.withColumns({**lacking, "_row": F.struct(*df.columns)})
+        done = self.fitted.transform(_numbers(marked, self.features))
+        value = vector_to_array("probability")[1] if self.task.kind == "probability" else F.col("prediction")
+        return done.select("_row.*", value.cast("double").alias(self.task.output))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model to a folder, replacing what was there."""
+        meta = {"task": self.task.name, "features": self.features, "rounds": self.rounds}
+        if isinstance(self.fitted, IsolationForest):
+            meta["forest"] = {**{k: v for k, v in asdict(self.fitted).items() if k != "trees"}, "trees": [{k: v.tolist() for k, v in t.items()} for t in self.fitted.trees]}
+        else:
+            self.fitted.write().overwrite().save(path + "/pipeline")
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        """The model of a folder."""
+        meta = json.loads(spark.read.text(path + "/meta").first()["value"])
+        forest = meta.get("forest")
+        if forest:
+            trees = [{k: np.array(v) for k, v in t.items()} for t in forest.pop("trees")]
+            fitted = IsolationForest(**forest, trees=trees)
+        else:
+            fitted = PipelineModel.load(path + "/pipeline")
+        return Model(TASKS[meta["task"]], meta["features"], fitted, meta["rounds"])
+
+
+def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """The features as doubles, NULL for NaN: both are missing values to the imputation."""
+    return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in names})
+
+
+#: The column each kind of task learns.
+TARGETS = {"probability": "label_failure_within_horizon", "regression": "battery_soh_mean_5m"}
+
+
+def train(task_name: str, features: DataFrame, label: str | None = None, rounds: int = ROUNDS, validation: DataFrame | None = None) -> Model:
+    """A model for a task of the registry; rows without label don't train. With ``validation`` rows it stops early."""
     task = TASKS[task_name]
     names = numeric_columns(features, drop_prefix=task.leak_prefix)
     if task.kind == "anomaly":
         key = "feature_id" if "feature_id" in features.columns else None
-        return IsolationForest.fit(bounded_sample(features, names, key=key), names, medians=medians(features, names)), names
-    target = label or ("label_failure_within_horizon" if task.kind == "probability" else "battery_soh_mean_5m")
-    rows = features.where(F.col(target).isNotNull()).select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names if c != target], F.col(target).cast("double").alias("_y"))
+        return Model(task, names, IsolationForest.fit(bounded_sample(features, names, key=key), names, medians=medians(features, names)))
+    target = label or TARGETS[task.kind]
     names = [c for c in names if c != target]
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return _numbers(df.where(F.col(target).isNotNull()), names).select(*names, F.col(target).cast("double").alias("_y"))
+
+    rows = labelled(features)
     # A column without any value can't be imputed.
-    filled = rows.agg(*[F.count(c).alias(c) for c in names]).first().asDict()
-    names = [c for c in names if filled[c]]
-    if task.kind == "probability":
-        share = rows.agg(F.avg("_y").alias("a")).first()["a"] or 0.0
-        weight = max(1.0, (1 - share) / share) if share else 1.0
-        rows = rows.withColumn("weight", F.when(F.col("_y") == 1, F.lit(weight)).otherwise(F.lit(1.0)))
-        return classifier(names, "_y", rounds=rounds).fit(rows), names
-    return regressor(names, "_y", rounds=rounds).fit(rows), names
+    seen = rows.agg(F.avg("_y").alias("_share"), *[F.count(c).alias(c) for c in names]).first().asDict()
+    share = seen.pop("_share")
+    if share is None:
+        raise ValueError("no labelled rows")
+    names = [c for c in names if seen[c]]
+    weight = F.when(F.col("_y") == 1, F.lit(max(1.0, (1 - share) / share) if share else 1.0)).otherwise(F.lit(1.0))
+    pipeline = (classifier if task.kind == "probability" else regressor)(names, "_y", rounds=rounds)
+    *steps, booster = pipeline.getStages()
+    ready = Pipeline(stages=steps).fit(rows)
+    # The booster reads its rows once a round: they are written once.
+    prepared = lambda df, name: spill(ready.transform(df).select("features", "_y", weight.alias("weight")), name)
+    fitted = fit_early(booster, prepared(rows, "training"), None if validation is None else prepared(labelled(validation), "validation"))
+    return Model(task, names, PipelineModel([*ready.stages, fitted]), fitted.getNumTrees)
+
+
+def fit_early(booster: GBTClassifier | GBTRegressor, rows: DataFrame, held: DataFrame | None, patience: int = PATIENCE) -> GBTClassificationModel | GBTRegressionModel:
+    """The booster with the number of rounds that does best on the held rows, or with all of them if there are none.
+
+    Rounds are doubled until ``patience`` of them have brought no lower loss on the held rows, or the booster's own number
+    is reached. Trees depend on seed and place alone, so the final model is the beginning of the last. Both tables are
+    deleted at the end.
+    """
+    most = booster.getMaxIter()
+    judged = held is not None and not held.isEmpty()
+    rounds = min(most, patience + 2) if judged else most
+    while True:
+        fitted = booster.copy({booster.maxIter: rounds}).fit(rows)
+        if not judged:
+            break
+        loss = fitted.evaluateEachIteration(held) if isinstance(booster, GBTClassifier) else fitted.evaluateEachIteration(held, "squared")
+        best = int(np.argmin(loss)) + 1
+        if rounds >= most or best + patience <= rounds:
+            fitted = fitted if best == rounds else booster.copy({booster.maxIter: best}).fit(rows)
+            break
+        rounds = min(most, 2 * rounds)
+    for gone in (rows, held):
+        if gone is not None:
+            discard(gone)
+    return fitted
+
+
+def evaluate(task_name: str, features: DataFrame, test_share: float = 0.2, validation_share: float = 0.1, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """(model, one row of metrics): trained on the oldest rows, stopped by the next, measured on the newest.
+
+    Only the classifier stops early. The anomaly forest knows no labels when it trains; its score is measured against them
+    (score_auc).
+    """
+    task = TASKS[task_name]
+    older, validation, test = time_split3(features, test_share, validation_share)
+    model = train(task_name, older, rounds=rounds, validation=validation if task.kind == "probability" else None)
+    label = TARGETS["regression" if task.kind == "regression" else "probability"]
+    scored = spill(model.score(test.where(F.col(label).isNotNull())).select(F.col(label).cast("double").alias("_y"), F.col(task.output).alias("_s")), "scored")
+    if task.kind == "regression":
+        return model, regression_metrics(scored, "_y", "_s")
+    ranking = ranking_metrics(scored, "_y", "_s")
+    return model, ranking.withColumnRenamed("roc_auc", "score_auc") if task.kind == "anomaly" else with_row(ranking, threshold_metrics(scored, "_y", "_s"))
+
+
+def raw_sensor_forest(rows: int = RAW_ROWS, trees: int = RAW_TREES, seed: int = 42) -> Model:
+    """The forest over raw sensors, fitted on synthetic readings of normal operation."""
+    rng = np.random.default_rng(seed)
+    sample = pd.DataFrame({c: getattr(rng, kind)(a, b, rows) for c, (kind, a, b) in RAW_SENSORS.items()})
+    return Model(TASKS["anomaly_detection"], list(RAW_SENSORS), IsolationForest.fit(sample, list(RAW_SENSORS), trees, seed=seed))
+
+
+def score_to_table(model: Model, features: DataFrame, folder: str, name: str, alias: str) -> DataFrame:
+    """Score a feature table and replace the stored predictions of the task, <folder>/<task>."""
+    target = f"{folder}/{model.task.name}"
+    replace_table(batch_score(model.score(features), model.task, name, alias), target)
+    return features.sparkSession.read.parquet(target)
+
+
+@dataclass
+class Outcome:
+    """What a run of the pipeline came to."""
+
+    task: str
+    metrics: dict[str, float]
+    rounds: int
+    version: int | None = None
+    promoted: bool = False
+
+
+def run_pipeline(task_name: str, features: DataFrame, registry: Registry | None = None, folder: str | None = None, promote: bool = True, rounds: int = ROUNDS) -> Outcome:
+    """Train and measure a task's model; with a registry, save it as a new version and promote it if it earns that."""
+    model, measured = evaluate(task_name, features, rounds=rounds)
+    metrics = {k: float(v) for k, v in measured.first().asDict().items() if v is not None}
+    out = Outcome(task_name, metrics, model.rounds)
+    if registry is not None:
+        version, out.promoted = registry.register(task_name, metrics.get(TASKS[task_name].metric, float("nan")), promote)
+        out.version = version.version
+        if folder:
+            model.save(features.sparkSession, f"{folder}/{task_name}/{version.version}")
+    return out
 
 
 @dataclass
@@ -213,14 +371,14 @@ class Registry:
     def champion(self, task: str) -> Version | None:
         return next((v for v in self.versions if v.task == task and "champion" in v.aliases), None)
 
-    def register(self, task_name: str, value: float) -> tuple[Version, bool]:
-        """(the new version, whether it became champion)."""
+    def register(self, task_name: str, value: float, promote: bool = True) -> tuple[Version, bool]:
+        """(the new version, whether it became champion); without ``promote`` it is only staged."""
         old = self.champion(task_name)
         new = Version(task_name, 1 + max([v.version for v in self.versions if v.task == task_name], default=0), value, ["staging"])
         for v in self.versions:
             if v.task == task_name and "staging" in v.aliases:
                 v.aliases.remove("staging")
-        won = promotes(TASKS[task_name], value, old.value if old else None)
+        won = promote and promotes(TASKS[task_name], value, old.value if old else None)
         if won:
             if old:
                 old.aliases.remove("champion")

@@ -6,6 +6,7 @@ Times come out as microseconds and floating-point values are rounded, so that bo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,14 +77,11 @@ def gold_all(spark: SparkSession, d: str) -> DataFrame:
     return flat(windows.build_windows(_events(spark, d)), nudge=1e-7)
 
 
-_VALID = f"(SELECT * FROM {TELEMETRY_SQL} WHERE NOT (cpu_usage > 100 OR cpu_usage < 0 OR battery_soh > 1 OR battery_soh < 0))"
+_SENSED = ("vibration", "motor_temp", "cpu_usage", "battery_soh")
 
 
-@query(_gold_sql(_VALID, DURATIONS))
-def silver_to_gold(spark: SparkSession, d: str) -> DataFrame:
-    """Deduplicate, keep what the rules allow, aggregate."""
-    silver = dedup.keep_latest(_events(spark, d), ("machine_id", "ts"), ("_ingest_ts", "_offset"))
-    return flat(windows.build_windows(quality.split(silver)[0]), nudge=1e-7)
+def _no_nan(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in _SENSED})
 
 
 # Parsing, rules, deduplication
@@ -156,6 +154,15 @@ def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
     return flat(dedup.keep_latest(table(spark, d, "bronze")).select("machine_id", "ts", "row_id", "_offset", "error_code"))
 
 
+_VALID = f"(SELECT * FROM (SELECT * REPLACE ({', '.join(f'CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}' for c in _SENSED)}) FROM {_LATEST}) WHERE NOT {_RULE_SQL})"
+
+
+@query(_gold_sql(_VALID, DURATIONS))
+def silver_to_gold(spark: SparkSession, d: str) -> DataFrame:
+    """The raw table deduplicated, without what the rules forbid, aggregated; NaN is no reading here."""
+    return flat(windows.build_windows(quality.split(_no_nan(dedup.keep_latest(table(spark, d, "bronze"))))[0]), nudge=1e-7)
+
+
 @query("SELECT l_orderkey, l_linenumber, max(struct_pack(a := epoch_us(l_shipdate), b := l_partkey, c := l_suppkey)).b AS l_partkey FROM lineitem GROUP BY ALL")
 def dedup_lineitem(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", us("l_shipdate").alias("shipped"), "l_partkey", "l_suppkey")
@@ -267,11 +274,23 @@ def online_lookup(spark: SparkSession, d: str) -> DataFrame:
     return flat(asof.online_lookup(entities, asof.online_latest(table(spark, d, "telemetry_features")), ("feature_id", "vibration_mean_5m")))
 
 
-@query(f"SELECT machine_id, unnest(['{"', '".join(_ONLINE_COLS)}']) AS feature, true AS equal FROM {_ONLINE}")
+_ASKED = "(SELECT machine_id, max(event_timestamp) AS t FROM predictions WHERE machine_id IS NOT NULL GROUP BY 1)"
+_HISTORY = f"(SELECT a.machine_id, {', '.join(f'CASE WHEN f.event_timestamp >= a.t - INTERVAL 1 DAY THEN f.{c} END AS {c}' for c in _ONLINE_COLS)} FROM {_ASKED} a ASOF LEFT JOIN {_FEATURE_ONE} f ON a.machine_id = f.machine_id AND a.t >= f.event_timestamp)"
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT machine_id, '{c}' AS feature, round(h.{c}::DOUBLE, 4) AS historical, round(o.{c}::DOUBLE, 4) AS online, h.{c} IS NOT DISTINCT FROM o.{c} AS equal FROM {_HISTORY} h FULL JOIN {_ONLINE} o USING (machine_id)"
+        for c in _ONLINE_COLS
+    )
+)
 def online_offline_parity(spark: SparkSession, d: str) -> DataFrame:
-    """The online table against the whole history's latest rows: equal everywhere."""
+    """Features as of each machine's last prediction, at most a day old, against what the online table holds."""
     t = table(spark, d, "telemetry_features")
-    return asof.parity(asof.online_latest(t, days=None), asof.online_latest(t), _ONLINE_COLS).select("machine_id", "feature", "equal")
+    asked = table(spark, d, "predictions").where("machine_id IS NOT NULL").groupBy("machine_id").agg(F.max("event_timestamp").alias("event_timestamp"))
+    then = asof.asof_join(asked, t, left_cols=(), right_cols=_ONLINE_COLS, tie="created_timestamp", ttl_us=asof.DAY_US)
+    historical = then.select("machine_id", *[F.col(f"v_{c}").alias(c) for c in _ONLINE_COLS])
+    return flat(asof.parity(historical, asof.online_latest(t), _ONLINE_COLS))
 
 
 # Dashboard tables
@@ -292,9 +311,14 @@ def fleet_kpis_1h(spark: SparkSession, d: str) -> DataFrame:
     return flat(bi.fleet_kpis(_gold(spark, d), "1h"))
 
 
-@query("SELECT machine_id, max(epoch_us(window_end)) AS last_window_end_us FROM gold WHERE window_duration = '5m' AND window_end IS NOT NULL GROUP BY 1")
+_HEALTH = """SELECT machine_id, epoch_us(window_end) AS last_window_end_us, round(battery_soh_mean, 4) AS battery_soh_mean, round(vibration_mean, 4) AS vibration_mean, round(vibration_max, 4) AS vibration_max, round(motor_temp_mean, 4) AS motor_temp_mean,
+    error_count, failure_label FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY window_end DESC, battery_soh_mean DESC NULLS LAST, vibration_mean DESC NULLS LAST, vibration_max DESC NULLS LAST, motor_temp_mean DESC NULLS LAST,
+    error_count DESC NULLS LAST, failure_label DESC NULLS LAST) AS rn FROM gold WHERE window_duration = '5m' AND window_end IS NOT NULL) WHERE rn = 1"""
+
+
+@query(_HEALTH)
 def machine_health(spark: SparkSession, d: str) -> DataFrame:
-    return flat(bi.machine_health(_gold(spark, d))).select("machine_id", "last_window_end_us")
+    return flat(bi.machine_health(_gold(spark, d)))
 
 
 @query("SELECT machine_id, epoch_us(window_end) AS window_end_us, window_duration, count(*) AS n FROM gold WHERE window_end >= (SELECT max(window_end) FROM gold) - INTERVAL 7 DAY GROUP BY ALL")
@@ -343,7 +367,6 @@ def _dashboard(name: str) -> Query:
     return run
 
 
-_HEALTH_SQL = ", ".join(f"round({c}, 4) AS {c}" if c.endswith("_mean") else c for c in bi.HEALTH)
 _DASH_SQL = {
     "window_count": "SELECT count(*) AS n FROM gold",
     "kpi_machines": f"SELECT n_machines FROM ({_kpi_sql()})",
@@ -352,8 +375,7 @@ _DASH_SQL = {
     "kpi_errors": f"SELECT total_errors FROM ({_kpi_sql()})",
     "series_vibration": "SELECT epoch_us(window_end) AS window_end_us, round(avg(vibration_mean), 4) AS avg_vibration, round(max(vibration_max), 4) AS max_vibration FROM gold WHERE window_duration = '1h' GROUP BY 1",
     "series_battery": "SELECT epoch_us(window_end) AS window_end_us, round(avg(battery_soh_mean), 4) AS avg_soh, round(min(battery_soh_min), 4) AS min_soh FROM gold WHERE window_duration = '1h' GROUP BY 1",
-    "health_table": f"""SELECT machine_id, epoch_us(window_end) AS last_window_end_us, {_HEALTH_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY window_end DESC, {', '.join(f'{c} DESC NULLS LAST' for c in bi.HEALTH)}) AS rn
-        FROM gold WHERE window_duration = '5m' AND window_end IS NOT NULL) WHERE rn = 1""",
+    "health_table": _HEALTH,
     "at_risk": f"SELECT count(*) AS n FROM {_LATEST_SQL} WHERE failure_probability > 0.5",
     "max_risk": f"SELECT round(max(failure_probability), 4) AS max_probability FROM {_LATEST_SQL}",
     "scored_machines": f"SELECT count(*) AS n FROM {_LATEST_SQL}",
@@ -370,17 +392,25 @@ for _name, _sql in _DASH_SQL.items():
 
 # Drift
 
-_DRIFT = ("vibration_mean", "motor_temp_mean", "cpu_usage_mean", "battery_soh_mean", "error_count")
-_CUT = "2026-01-15"
+#: All numeric columns of the feature table.
+_DRIFT = (
+    *[f"{m}_{w}" for m in ("vibration_mean", "motor_temp_mean", "cpu_usage_mean", "battery_soh_mean") for w in ("5m", "1h", "24h")],
+    *("vibration_mean_5m_lag_1", "vibration_mean_5m_lag_3", "motor_temp_mean_5m_lag_1", "battery_soh_mean_5m_lag_1", "cpu_usage_mean_5m_lag_1"),
+    *[f"{m}_5m_roc_1" for m in ("vibration_mean", "motor_temp_mean", "cpu_usage_mean", "battery_soh_mean")],
+    *("error_count_5m", "record_count_5m", "uptime_ratio_5m"),
+)
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    day = _gold(spark, d).where("window_duration = '24h'")
-    return day.where(F.col("event_date") < F.lit(_CUT).cast("date")), day.where(F.col("event_date") >= F.lit(_CUT).cast("date"))
+    """The older half of the feature rows as reference, the newer as current."""
+    return evalmetrics.time_split(table(spark, d, "telemetry_features"), 0.5)
+
+
+_MIDDLE = "(SELECT quantile_cont(epoch_us(event_timestamp)::DOUBLE, 0.5) FROM telemetry_features)"
 
 
 def _drift_values(side: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, event_date < DATE '{_CUT}' AS ref FROM gold WHERE window_duration = '24h' AND {c} IS NOT NULL AND isfinite(CAST({c} AS DOUBLE))" for c in _DRIFT)
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, epoch_us(event_timestamp) <= {_MIDDLE} AS ref FROM telemetry_features WHERE event_timestamp IS NOT NULL AND {c} IS NOT NULL AND isfinite(CAST({c} AS DOUBLE))" for c in _DRIFT)
 
 
 _V = f"v AS ({_drift_values('')})"
@@ -391,31 +421,31 @@ _PSI = f"""WITH {_V}, q AS (SELECT feature, list_sort(list_distinct(quantile_con
     b AS (SELECT v.feature, v.ref, len(q.e) AS ne, len(list_filter(q.e[2:len(q.e) - 1], lambda x: x <= v.v)) AS bin FROM v JOIN q USING (feature)),
     c AS (SELECT feature, bin, max(ne) AS ne, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS n FROM b GROUP BY ALL),
     p AS (SELECT feature, ne, greatest(r / sum(r) OVER (PARTITION BY feature), 1e-6) AS pr, greatest(n / sum(n) OVER (PARTITION BY feature), 1e-6) AS pn FROM c)
-    SELECT feature, round(CASE WHEN max(ne) < 2 THEN 0 ELSE sum((pn - pr) * ln(pn / pr)) END, 4) AS psi FROM p GROUP BY 1"""
+    SELECT feature, round(CASE WHEN max(ne) < 2 THEN 0 ELSE sum((pn - pr) * ln(pn / pr)) END + 1e-7, 4) AS psi FROM p GROUP BY 1"""
 
 
 @query(_PSI)
 def psi(spark: SparkSession, d: str) -> DataFrame:
     ref, cur = _sides(spark, d)
-    return flat(drift.drift_report(ref, cur, list(_DRIFT)).select("feature", "psi"))
+    return flat(drift.drift_report(ref, cur).select("feature", "psi"), nudge=1e-7)
 
 
 @query(_KS)
 def ks(spark: SparkSession, d: str) -> DataFrame:
     ref, cur = _sides(spark, d)
-    return flat(drift.drift_report(ref, cur, list(_DRIFT)).select("feature", "ks"), 6)
+    return flat(drift.drift_report(ref, cur).select("feature", "ks"), 6)
 
 
-@query(f"SELECT a.feature, psi, round(ks, 4) AS ks, psi > 0.2 AS drifted FROM ({_PSI}) a JOIN ({_KS}) b USING (feature)")
+@query(f"SELECT a.feature, psi, round(ks + 1e-7, 4) AS ks, psi > 0.2 AS drifted FROM ({_PSI}) a JOIN ({_KS}) b USING (feature)")
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
     ref, cur = _sides(spark, d)
-    return flat(drift.drift_report(ref, cur, list(_DRIFT)))
+    return flat(drift.drift_report(ref, cur), nudge=1e-7)
 
 
 @query(f"SELECT count(*) AS n_features, count(*) FILTER (psi > 0.2) AS n_drifted, round(count(*) FILTER (psi > 0.2) / count(*), 4) AS drift_share, count(*) FILTER (psi > 0.2) / count(*) > 0.5 AS dataset_drift FROM ({_PSI})")
 def drift_summary(spark: SparkSession, d: str) -> DataFrame:
     ref, cur = _sides(spark, d)
-    return flat(drift.drift_summary(drift.drift_report(ref, cur, list(_DRIFT))))
+    return flat(drift.drift_summary(drift.drift_report(ref, cur)))
 
 
 # Splits and metrics
@@ -427,27 +457,24 @@ def _split_sql(test: float, validation: float | None = None) -> str:
     if validation:
         two = f"(SELECT quantile_cont(epoch_us(event_timestamp)::DOUBLE, {1 - validation / (1 - test)!r}) FROM telemetry_features WHERE epoch_us(event_timestamp) <= {one})"
         part = f"CASE WHEN epoch_us(event_timestamp) <= {two} THEN 'train' WHEN epoch_us(event_timestamp) <= {one} THEN 'validation' ELSE 'test' END"
-    return f"SELECT {part} AS part, count(*) AS n FROM telemetry_features WHERE event_timestamp IS NOT NULL GROUP BY 1"
+    return f"SELECT feature_id, {part} AS part FROM telemetry_features WHERE event_timestamp IS NOT NULL"
 
 
-def _counted(**parts: DataFrame) -> DataFrame:
-    out = None
-    for name, df in parts.items():
-        one = df.groupBy(F.lit(name).alias("part")).agg(F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _parts(**parts: DataFrame) -> DataFrame:
+    out = [df.select("feature_id", F.lit(name).alias("part")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(_split_sql(0.2))
 def time_split(spark: SparkSession, d: str) -> DataFrame:
     train, test = evalmetrics.time_split(table(spark, d, "telemetry_features"), 0.2)
-    return _counted(train=train, test=test)
+    return _parts(train=train, test=test)
 
 
 @query(_split_sql(0.2, 0.1))
 def time_split3(spark: SparkSession, d: str) -> DataFrame:
     train, validation, test = evalmetrics.time_split3(table(spark, d, "telemetry_features"), 0.2, 0.1)
-    return _counted(train=train, validation=validation, test=test)
+    return _parts(train=train, validation=validation, test=test)
 
 
 #: Scored rows: the uptime and vibration of the feature rows stand for a score of their label.
@@ -484,9 +511,11 @@ def threshold_metrics(spark: SparkSession, d: str) -> DataFrame:
     return flat(evalmetrics.threshold_metrics(_scored(spark, d), "y", "s", 0.8), 6)
 
 
-@query("SELECT count(*) AS n, round(sqrt(avg((value - 100) * (value - 100))), 4) AS rmse, round(avg(abs(value - 100)), 4) AS mae, round(1 - avg((value - 100) * (value - 100)) / var_pop(value), 4) AS r2 FROM events")
+@query("SELECT count(*) AS n, round(sqrt(avg(e * e)), 2) AS rmse, round(avg(abs(e)), 2) AS mae, round(1 - avg(e * e) / var_pop(y), 2) AS r2 FROM (SELECT l_extendedprice::DOUBLE AS y, l_extendedprice::DOUBLE - 1500 * l_quantity::DOUBLE AS e FROM lineitem)")
 def regression_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return flat(evalmetrics.regression_metrics(table(spark, d, "events").withColumn("guess", F.lit(100.0)), "value", "guess"))
+    """A price guessed from the quantity."""
+    guessed = table(spark, d, "lineitem").withColumn("guess", F.col("l_quantity").cast("double") * 1500)
+    return flat(evalmetrics.regression_metrics(guessed, "l_extendedprice", "guess"), 2)
 
 
 @query("SELECT round(greatest(1, count(*) FILTER (NOT label_failure_within_horizon) / count(*) FILTER (label_failure_within_horizon)), 4) AS weight FROM telemetry_features")
@@ -494,9 +523,9 @@ def class_weight(spark: SparkSession, d: str) -> DataFrame:
     return flat(evalmetrics.class_weight(table(spark, d, "telemetry_features"), "label_failure_within_horizon"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 4) AS median, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM telemetry_features WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in _ONLINE_COLS[:4]))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(median({c}), 4) AS median, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std FROM telemetry_features WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in _DRIFT))
 def fit_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return flat(evalmetrics.fit_statistics(table(spark, d, "telemetry_features"), list(_ONLINE_COLS[:4])))
+    return flat(evalmetrics.fit_statistics(table(spark, d, "telemetry_features"), list(_DRIFT)))
 
 
 _BUCKETS = (10.0, 50.0, 100.0, 250.0, 500.0)
@@ -519,7 +548,7 @@ def request_quantile(spark: SparkSession, d: str) -> DataFrame:
 
 # Alerts
 
-_CAND = "(SELECT machine_id, ts, vibration AS anomaly_score, row_id FROM bronze WHERE machine_id IS NOT NULL AND ts IS NOT NULL AND vibration >= 1.0 AND NOT isnan(vibration) AND event_date >= DATE '2026-02-03')"
+_CAND = "(SELECT machine_id, ts, vibration AS anomaly_score, row_id FROM bronze WHERE machine_id IS NOT NULL AND ts IS NOT NULL AND vibration >= 1.0 AND NOT isnan(vibration))"
 _TOP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY anomaly_score DESC, ts, row_id DESC) AS rn FROM {_CAND}) WHERE rn = 1)"
 
 
@@ -566,9 +595,27 @@ def gold_partitions(spark: SparkSession, d: str) -> DataFrame:
     return flat(verify.partitions(_gold(spark, d)))
 
 
-@query("SELECT d AS window_duration FROM (VALUES ('5m'), ('1h'), ('24h')) t(d) WHERE d NOT IN (SELECT window_duration FROM gold WHERE window_duration IS NOT NULL)")
+_TWO = {k: v for k, v in DURATIONS.items() if k != "24h"}
+
+
+@query(f"SELECT d AS window_duration FROM (VALUES ('5m'), ('1h'), ('24h')) t(d) WHERE d NOT IN (SELECT window_duration FROM ({_gold_sql(TELEMETRY_SQL, _TWO)}))")
 def missing_durations(spark: SparkSession, d: str) -> DataFrame:
-    return verify.missing_durations(_gold(spark, d))
+    """What a table of two of the three durations lacks."""
+    return verify.missing_durations(windows.build_windows(_events(spark, d), _TWO))
+
+
+@query(
+    f"""WITH s AS (SELECT count(*) AS n_silver, count(*) FILTER (coalesce(lat < -90 OR lat > 90, false) OR coalesce(lon < -180 OR lon > 180, false) OR coalesce(speed < 0, false) OR coalesce(vibration < 0, false) OR coalesce(battery_soh < 0 OR battery_soh > 1, false) OR coalesce(cpu_usage < 0 OR cpu_usage > 100, false)) AS n_out_of_range,
+    greatest(count(*) FILTER (machine_id IS NULL), count(*) FILTER (ts IS NULL), count(*) FILTER (lat IS NULL), count(*) FILTER (lon IS NULL)) / greatest(1, count(*)) AS r FROM silver),
+    k AS (SELECT count(*) AS k FROM (SELECT DISTINCT machine_id, ts FROM silver)),
+    g AS (SELECT count(*) AS n_gold, min(vibration_mean) >= 0 AND min(battery_soh_mean) >= 0 AND min(cpu_usage_mean) >= 0 AS sane, count(DISTINCT window_duration) FILTER (window_duration IN ('5m', '1h', '24h')) AS durations FROM gold),
+    q AS (SELECT count(*) AS n_quarantined FROM silver WHERE {_RULE_SQL})
+    SELECT n_silver, n_silver - k AS n_duplicates, n_out_of_range, round(r, 6) AS max_null_rate, n_gold, sane, n_quarantined, n_silver = k AND n_out_of_range = 0 AND r <= 0.05 AND durations = 3 AND sane AS passed FROM s, k, g, q"""
+)
+def verify_layers(spark: SparkSession, d: str) -> DataFrame:
+    silver = table(spark, d, "silver")
+    row = verify.verify_layers(silver, _gold(spark, d), quality.quarantine(silver))
+    return flat(row.select("n_silver", "n_duplicates", "n_out_of_range", "max_null_rate", "n_gold", "sane", "n_quarantined", "passed"), 6)
 
 
 # Streaming
@@ -588,33 +635,47 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return flat(spark.read.parquet(bronze).select("machine_id", "ts", "_offset", "error_code"))
 
 
-@query()
+_Z = "1 - exp(-greatest(0, coalesce(abs((vibration - 0.7) / 0.3), 0), coalesce(abs((motor_temp - 50) / 12), 0)) / 3)"
+
+
+@query(f"SELECT machine_id, epoch_us(ts) AS event_timestamp_us, round(s, 4) AS anomaly_score, 0.5::DOUBLE AS alert_threshold, 'plain' AS model_name, 'champion' AS model_alias, '7' AS model_version FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY s DESC, ts NULLS LAST) AS rn FROM (SELECT machine_id, ts, {_Z} AS s FROM bronze WHERE machine_id IS NOT NULL) WHERE s >= 0.5) WHERE rn = 1")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """The raw table as messages through the alert stream with the plain scorer."""
+    """The raw table as messages through the alert stream with the plain scorer, in one micro-batch."""
     source, out, state = (scratch_path(spark, n) for n in ("messages", "alerts", "alert-state"))
     _message_files(spark, table(spark, d, "bronze"), source)
     scorer = lambda df: models.zscore(df, {"vibration": (0.7, 0.3), "motor_temp": (50.0, 12.0)})
-    ingest.start_alerts(ingest.file_source(spark, source, 64), scorer, out, state, threshold=0.5, interval=None, name=f"alerts-{state[-8:]}").awaitTermination()
-    return flat(spark.read.parquet(out).select("machine_id", "event_timestamp", "anomaly_score"))
+    cache = ingest.ModelCache(lambda: alerts.ModelTag("plain", "champion", "7"), lambda _: scorer)
+    ingest.start_alerts(ingest.file_source(spark, source, 1_000_000), cache, out, state, threshold=0.5, interval=None, name=f"alerts-{state[-8:]}").awaitTermination()
+    return flat(spark.read.parquet(out).select("machine_id", "event_timestamp", "anomaly_score", "alert_threshold", "model_name", "model_alias", "model_version"))
 
 
 # Models and generators
 
 @query()
 def batch_score(spark: SparkSession, d: str) -> DataFrame:
-    """An isolation forest with medians of all rows and trees from a bounded sample scores every feature row."""
+    """An isolation forest with statistics of all rows and trees from a bounded sample scores every feature row."""
     t = table(spark, d, "telemetry_features")
-    forest, _ = models.train("anomaly_detection", t)
-    return flat(models.batch_score(models.score_forest(t, forest), TASKS["anomaly_detection"], "forest", "champion"))
+    model = models.train("anomaly_detection", t)
+    return flat(models.batch_score(model.score(t), TASKS["anomaly_detection"], "forest", "champion"))
 
 
 @query()
 def train_maintenance(spark: SparkSession, d: str) -> DataFrame:
-    """Boosted trees on the older feature rows, their ranking metrics on the newer ones."""
-    train, test = evalmetrics.time_split(table(spark, d, "telemetry_features"), 0.2)
-    model, names = models.train("predictive_maintenance", train)
-    scored = models.score_model(model, alerts.align(test, names, keep=("label_failure_within_horizon",)), TASKS["predictive_maintenance"])
-    return flat(evalmetrics.ranking_metrics(scored, "label_failure_within_horizon", "failure_probability"))
+    """Boosted trees on the older feature rows, stopped on the next ones, their metrics on the newest."""
+    return flat(models.evaluate("predictive_maintenance", table(spark, d, "telemetry_features"))[1].select("roc_auc", "average_precision"))
+
+
+@query()
+def train_battery(spark: SparkSession, d: str) -> DataFrame:
+    """Boosted trees for the battery's health without any of its own columns, their errors on the newest rows."""
+    return flat(models.evaluate("battery_health", table(spark, d, "telemetry_features"))[1])
+
+
+@query()
+def score_raw_sensors(spark: SparkSession, d: str) -> DataFrame:
+    """The forest of the raw sensors, fitted on synthetic normal operation, scores every raw reading."""
+    bronze = table(spark, d, "bronze")
+    return flat(models.raw_sensor_forest().score(bronze).select("row_id", "anomaly_score"))
 
 
 @query("SELECT feature_id, round(coalesce(vibration_mean_5m, 0), 4) AS vibration_mean_5m, 0.0::DOUBLE AS not_there FROM telemetry_features")

@@ -25,6 +25,7 @@ WIRE: tuple[tuple[str, T.DataType], ...] = (
     ("event", T.StringType()),
     ("failure_within_horizon", T.BooleanType()),
 )
+#: Columns a message adds, window lengths, and the metrics of a window, in order.
 LINEAGE = ("_topic", "_partition", "_offset", "_kafka_ts")
 DURATIONS: dict[str, int] = {"5m": 300, "1h": 3_600, "24h": 86_400}
 METRICS = (
@@ -82,6 +83,7 @@ class Task:
     leak_prefix: str | None = None
 
 
+#: The prediction tasks.
 TASKS: dict[str, Task] = {
     "predictive_maintenance": Task("predictive_maintenance", "probability", "failure_probability", "roc_auc", True, 0.85),
     "anomaly_detection": Task("anomaly_detection", "anomaly", "anomaly_score", "score_auc", True, 0.60),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,28 +62,59 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch under its id; a repeated batch replaces itself, so a restart leaves no duplicates."""
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ("event_date",), repeat: bool = True) -> None:
+    """Append one micro-batch to a table partitioned by date; a batch that is repeated replaces what it wrote.
+
+    The batch is written aside and its files are then moved to their partitions under names that begin with its id. With
+    ``repeat`` files of that id are removed first; only the first batch after a start can be a repetition.
+    """
+    spark = df.sparkSession
+    mark = f"b{batch_id:012d}-"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{path}/_batch-{batch_id}"
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(aside)
+    deep = "/*" * len(partition_by)
+    if repeat:
+        for f in fs.globStatus(jvm.Path(f"{path}{deep}/{mark}*")) or ():
+            fs.delete(f.getPath(), False)
+    for f in fs.globStatus(jvm.Path(f"{aside}{deep}/part-*")) or ():
+        home = f.getPath().getParent().toString().split(f"/_batch-{batch_id}/", 1)[1]
+        fs.mkdirs(jvm.Path(f"{path}/{home}"))
+        fs.rename(f.getPath(), jvm.Path(f"{path}/{home}/{mark}{f.getPath().getName()}"))
+    fs.delete(jvm.Path(aside), True)
+
+
+#: More dates than these are not worth a list in the scan's filter.
+MAX_DATES = 1_000
 
 
 def upsert_absent(spark: SparkSession, source: DataFrame, path: str, keys: tuple[str, ...] = ("machine_id", "ts"), partition_by: tuple[str, ...] = ("event_date",)) -> None:
     """Insert the rows of ``source`` whose key the stored table lacks; the first run creates it.
 
-    Whether the table exists is tested on its own, so an error of the merge never falls through to an overwrite. The
-    existing keys are read before anything is written.
+    Whether the table exists is tested on its own, so an error of the merge never falls through to an overwrite. Equal
+    keys lie in the same partition, so of the stored table only the keys of the partitions that the source has are read.
     """
     if not path_exists(spark, path):
         source.write.partitionBy(*partition_by).parquet(path)
         return
     target = spark.read.parquet(path)
-    insert_absent(target, source.select(*target.columns), keys).write.mode("append").partitionBy(*partition_by).parquet(path)
+    days = [r[0] for r in source.select(partition_by[0]).distinct().limit(MAX_DATES + 1).collect()]
+    kept = target if len(days) > MAX_DATES else target.where(F.col(partition_by[0]).isin([d for d in days if d is not None]) | F.col(partition_by[0]).isNull())
+    insert_absent(kept, source.select(*target.columns), keys).write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
+def replace_quarantine(df: DataFrame, path: str, partition_by: str = "event_date") -> None:
+    """Write the quarantine of a whole run, which replaces the one before; a clean run leaves an empty table."""
+    if df.isEmpty():
+        df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    else:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition_by).parquet(path)
 
 
-def replace_quarantine(df: DataFrame, path: str) -> None:
-    """Write the quarantine of a whole run; as a run reads everything, it replaces the one before. Empty frames write nothing."""
-    if not df.isEmpty():
-        df.write.mode("overwrite").partitionBy("event_date").parquet(path)
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write a whole table in place of the one before: offline features, predictions, reference snapshots."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -90,9 +122,9 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def print_lines(df: DataFrame, limit: int = 1_000) -> None:
-    """At most ``limit`` JSON records on standard output."""
-    for row in df.select(F.to_json(F.struct("*")).alias("j")).limit(limit).collect():
+def print_lines(df: DataFrame) -> None:
+    """Every record as JSON on standard output, one partition in the driver at a time."""
+    for row in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
         print(row["j"])
 
 
@@ -103,18 +135,82 @@ def write_kafka(df: DataFrame, servers: str, topic: str, key: str = "machine_id"
     ).save()
 
 
-#: Sinks by name; each takes the frame and its options.
-SINKS: dict[str, Callable[..., None]] = {"stdout": print_lines, "file": write_lines, "kafka": write_kafka, "append": append}
+class Sink:
+    """Where records go: write() as often as wanted, then close(); also as a context manager."""
+
+    def write(self, df: DataFrame) -> None:
+        raise NotImplementedError
+
+    def write_many(self, frames: Iterable[DataFrame]) -> None:
+        """Write one frame after the other."""
+        for df in frames:
+            self.write(df)
+
+    def flush(self) -> None:
+        """Nothing is held back: every write is complete when it returns."""
+
+    def close(self) -> None:
+        self.flush()
+
+    def __enter__(self) -> Sink:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+class StdoutSink(Sink):
+    """JSON lines on standard output."""
+
+    def write(self, df: DataFrame) -> None:
+        print_lines(df)
+
+
+class FileSink(Sink):
+    """JSON lines in a folder; the first write replaces what was there, later ones append."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self._begun = path, False
+
+    def write(self, df: DataFrame) -> None:
+        df.write.mode("append" if self._begun else "overwrite").json(self.path)
+        self._begun = True
+
+
+class TableSink(Sink):
+    """A parquet table partitioned by date, appended to."""
+
+    def __init__(self, path: str, partition_by: tuple[str, ...] = ("event_date",)) -> None:
+        self.path, self.partition_by = path, partition_by
+
+    def write(self, df: DataFrame) -> None:
+        append(df, self.path, self.partition_by)
+
+
+class KafkaSink(Sink):
+    """Messages of a topic, keyed by machine."""
+
+    def __init__(self, servers: str, topic: str, key: str = "machine_id") -> None:
+        self.args = (servers, topic, key)
+
+    def write(self, df: DataFrame) -> None:
+        write_kafka(df, *self.args)
+
+
+SINKS: dict[str, Callable[..., Sink]] = {"stdout": StdoutSink, "file": FileSink, "kafka": KafkaSink, "append": TableSink}
 
 
-def sink(kind: str) -> Callable[..., None]:
-    """The sink of a name; ValueError for an unknown one."""
+def sink(kind: str, **options: Any) -> Sink:
+    """The sink of a name with its options; ValueError for an unknown one."""
     if kind not in SINKS:
         raise ValueError(f"unknown sink: {kind}")
-    return SINKS[kind]
+    return SINKS[kind](**options)
 
 
-def json_summary(df: DataFrame) -> str:
-    """A one-row frame as JSON."""
+def json_summary(df: DataFrame, path: str | None = None) -> str:
+    """A one-row frame as JSON, also written to a file of the driver if ``path`` is given."""
     row = df.first()
-    return json.dumps(row.asDict() if row else {}, default=str, sort_keys=True)
+    text = json.dumps(row.asDict() if row else {}, default=str, sort_keys=True)
+    if path:
+        Path(path).write_text(text)
+    return text

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeflow.functions.columns import us
-from gaugeflow.operators.alerts import COOLDOWN, THRESHOLD, above_threshold, throttle
-from gaugeflow.operators.windows import build_windows
+from gaugeflow.operators.alerts import ALERT_COLUMNS, COOLDOWN, THRESHOLD, ModelTag, alert_rows, last_alerts, throttle
 from gaugeflow.schema import wire_schema
-from gaugeflow.sources.files import path_exists, write_batch
+from gaugeflow.session import delete_path
+from gaugeflow.sources.files import write_batch
 
 MESSAGE = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
 
@@ -51,30 +52,59 @@ def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def _trigger(interval: str | None) -> dict[str, object]:
+    return {"processingTime": interval} if interval else {"availableNow": True}
+
+
 def start_ingest(messages: DataFrame, bronze: str, malformed: str, checkpoint: str, interval: str | None = "5 seconds", name: str = "ingest") -> StreamingQuery:
-    """Store records and malformed messages of each micro-batch under its id.
+    """Store records by date and malformed messages by the date of their ingestion.
 
-    Both sinks are written from one cached batch under one checkpoint; a batch that is repeated after a failure replaces
+    The batch is parsed once for both sinks, which share one checkpoint. A batch that is repeated after a failure replaces
     what it wrote. Without ``interval`` the query takes what there is and ends.
     """
+    started: list[int] = []
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            good, bad = split_parsed(batch)
-            write_batch(good, bronze, batch_id)
-            if not bad.isEmpty():
-                write_batch(bad, malformed, batch_id)
-        finally:
-            batch.unpersist()
+        repeat = not started
+        started.append(batch_id)
+        kept = batch.persist()
+        good, bad = split_parsed(kept)
+        write_batch(good, bronze, batch_id, repeat=repeat)
+        write_batch(bad.withColumn("ingest_date", F.to_date("_ingest_ts")), malformed, batch_id, ("ingest_date",), repeat)
+        kept.unpersist()
+
+    return parse(messages).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).queryName(name).trigger(**_trigger(interval)).start()
+
+
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+class ModelCache:
+    """The scorer in use: asked for once a batch, loaded anew when the version changes.
 
-    writer = parse(messages).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).queryName(name)
-    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+    ``latest`` tells the current model; ``load`` makes its scorer. Where loading fails, the one before stays in use, and
+    only the first load may fail for good.
+    """
+
+    def __init__(self, latest: Callable[[], ModelTag], load: Callable[[ModelTag], Scorer]) -> None:
+        self._latest, self._load = latest, load
+        self._held: tuple[ModelTag, Scorer] | None = None
+
+    def current(self) -> tuple[ModelTag, Scorer]:
+        """(tag, scorer) to use now."""
+        try:
+            tag = self._latest()
+            if self._held is None or self._held[0] != tag:
+                self._held = (tag, self._load(tag))
+        except Exception:
+            if self._held is None:
+                raise
+        return self._held
 
 
 def start_alerts(
     messages: DataFrame,
-    scorer: Callable[[DataFrame], DataFrame],
+    model: Scorer | ModelCache,
     alerts: str,
     checkpoint: str,
     threshold: float = THRESHOLD,
@@ -85,33 +115,58 @@ def start_alerts(
 ) -> StreamingQuery:
     """Score each micro-batch, keep the best candidate per machine, hold back within the cooldown and store.
 
-    ``scorer`` adds anomaly_score to the parsed records; it may change between batches. Earlier alerts are read back from
-    the store, all columns but two pruned. ``lines`` gets the alerts as JSON too.
+    A scorer adds anomaly_score to the parsed records; a ModelCache may change it between batches. The last alert of each
+    machine is kept beside the alerts, one row per machine, as of each batch; a repeated batch starts from the table of
+    the batch before. ``lines`` gets key and JSON of the alerts too.
     """
+    cache = model if isinstance(model, ModelCache) else ModelCache(ModelTag, lambda _: model)
+    started: list[int] = []
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scored = scorer(batch.where(F.col("machine_id").isNotNull())).withColumnRenamed("ts", "event_timestamp")
-        prior = spark.read.parquet(alerts).where(F.col("batch_id") != batch_id).select("machine_id", "event_timestamp") if path_exists(spark, alerts) else None
-        out = throttle(above_threshold(scored, threshold), prior, cooldown).withColumn("alert_emitted_ts", F.current_timestamp()).drop("_raw_value")
-        out.persist()
-        try:
-            write_batch(out, alerts, batch_id)
-            if lines:
-                write_batch(out.select(F.to_json(F.struct("*")).alias("value")), lines, batch_id)
-        finally:
-            out.unpersist()
-
-    writer = parse(messages).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).queryName(name)
-    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+        repeat = not started
+        started.append(batch_id)
+        tag, scorer = cache.current()
+        prior = last_before(spark, f"{alerts}_last", batch_id)
+        found = alert_rows(scorer(batch.where(F.col("machine_id").isNotNull())), tag, threshold)
+        out = throttle(found, prior, cooldown).withColumn("alert_emitted_ts", F.current_timestamp()).persist()
+        write_batch(out.withColumn("event_date", F.to_date("event_timestamp")), alerts, batch_id, repeat=repeat)
+        if lines:
+            text = out.select(F.col("machine_id").alias("key"), F.to_json(F.struct(*ALERT_COLUMNS, "alert_emitted_ts")).alias("value"), F.to_date("event_timestamp").alias("event_date"))
+            write_batch(text, lines, batch_id, repeat=repeat)
+        last_alerts(out, prior).write.mode("overwrite").parquet(f"{alerts}_last/batch-{batch_id:012d}")
+        out.unpersist()
+        for old in _last_tables(spark, f"{alerts}_last"):
+            if old < batch_id - 1:
+                delete_path(spark, f"{alerts}_last/batch-{old:012d}")
+
+    return parse(messages).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).queryName(name).trigger(**_trigger(interval)).start()
+
+
+def _last_tables(spark: SparkSession, path: str) -> list[int]:
+    """Batch ids of the finished tables of last alerts."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path + "/batch-*/_SUCCESS")
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or ()
+    return sorted(int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found)
+
+
+def last_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The last alert of each machine before a batch; None before the first."""
+    earlier = [b for b in _last_tables(spark, path) if b < batch_id]
+    return spark.read.parquet(f"{path}/batch-{earlier[-1]:012d}") if earlier else None
+
+
+def stop(query: StreamingQuery, seconds: float = 60) -> bool:
+    """Let the running micro-batch end, then stop; whether it was idle in time. Data that waits is left for the next start."""
+    until = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.1)
+    idle = not (query.isActive and query.status["isTriggerActive"])
+    query.stop()
+    return idle
 
 
 def stream_windows(records: DataFrame, watermark: str = "2 minutes", seconds: int = 300) -> DataFrame:
     """Tumbling windows on a stream, each emitted once the watermark has passed its end."""
     late = records.withWatermark("ts", watermark)
     return late.groupBy("machine_id", F.window("ts", f"{seconds} seconds")).agg(F.avg("vibration").alias("vibration_mean"), F.avg("motor_temp").alias("motor_temp_mean"), F.count("*").alias("record_count")).select("machine_id", us("window.start").alias("window_start_us"), us("window.end").alias("window_end_us"), "vibration_mean", "motor_temp_mean", "record_count")
-
-
-def batch_windows(bronze: DataFrame) -> DataFrame:
-    """The window table of stored records."""
-    return build_windows(bronze)

@@ -192,7 +192,12 @@ def test_files(spark, tmp_path):
     assert rows(spark.read.parquet(p), "row_id", "vibration") == [(1, 0.5), (2, 9.0)]
     files.write_batch(df, p + "b", 3)
     files.write_batch(df, p + "b", 3)
-    assert spark.read.parquet(p + "b").count() == 2
+    files.write_batch(df.limit(0), p + "b", 4)
+    assert spark.read.parquet(p + "b").count() == 2 and spark.read.parquet(p + "b").where("event_date = '2026-02-02'").count() == 2
+    files.write_batch(df.where("row_id = 1"), p + "b", 3)
+    assert rows(spark.read.parquet(p + "b"), "row_id") == [(1,)]
+    files.write_batch(df.limit(0), p + "b", 3)
+    assert not list(tmp_path.glob("tb/event_date=*/*.parquet"))
     with pytest.raises(FileNotFoundError):
         files.read_parquet(spark, p + "none")
     with pytest.raises(ValueError):
@@ -203,6 +208,145 @@ def test_files(spark, tmp_path):
     assert files.read_or_empty(spark, p + "none", df.schema).count() == 0
 
 
+def test_quarantine_is_always_that_of_the_last_run(spark, tmp_path):
+    p = str(tmp_path / "q")
+    df = spark.createDataFrame([reading(1), reading(2, minute=1500)], BRONZE).withColumn("event_date", F.to_date("ts"))
+    files.replace_quarantine(df, p)
+    assert spark.read.parquet(p).count() == 2
+    files.replace_quarantine(df.where("row_id = 1"), p)
+    assert spark.read.parquet(p).count() == 1
+    files.replace_quarantine(df.limit(0), p)
+    assert spark.read.parquet(p).count() == 0 and "row_id" in spark.read.parquet(p).columns
+
+
+def test_sinks(spark, tmp_path, capsys):
+    df = spark.range(1_500).withColumn("machine_id", F.lit("m"))
+    with files.sink("stdout") as out:
+        out.write(df)
+    printed = capsys.readouterr().out.splitlines()
+    assert len(printed) == 1_500 and printed[0].startswith("{")
+    with files.sink("file", path=str(tmp_path / "l")) as out:
+        out.write_many([df, df])
+    assert spark.read.json(str(tmp_path / "l")).count() == 3_000
+    with files.sink("file", path=str(tmp_path / "l")) as out:
+        out.write(df)
+    assert spark.read.json(str(tmp_path / "l")).count() == 1_500
+    dated = df.withColumn("event_date", F.lit("2026-02-02").cast("date"))
+    for _ in range(2):
+        files.sink("append", path=str(tmp_path / "t")).write(dated)
+    files.overwrite_partitions(dated.limit(3).withColumn("window_duration", F.lit("5m")), str(tmp_path / "o"))
+    files.overwrite_partitions(dated.limit(2).withColumn("window_duration", F.lit("1h")), str(tmp_path / "o"))
+    files.overwrite_partitions(dated.limit(1).withColumn("window_duration", F.lit("5m")), str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3_000 and spark.read.parquet(str(tmp_path / "o")).count() == 3
+    assert files.json_summary(spark.range(1), str(tmp_path / "s.json")) == '{"id": 0}' == (tmp_path / "s.json").read_text()
+
+
+def test_upsert_reads_only_the_partitions_of_the_source(spark, tmp_path):
+    p = str(tmp_path / "u")
+    df = spark.createDataFrame([reading(i, minute=i * 1440) for i in range(4)] + [reading(9, ts=None, minute=None)], BRONZE).withColumn("event_date", F.to_date("ts"))
+    files.upsert_absent(spark, df, p)
+    files.upsert_absent(spark, df.where("row_id in (1, 9)").withColumn("row_id", F.col("row_id") + 100), p)
+    assert rows(spark.read.parquet(p), "row_id") == [(0,), (1,), (109,), (2,), (3,), (9,)]
+
+
+def test_database_tables_are_counted_as_they_are_written(spark, tmp_path):
+    df = spark.range(7)
+    assert bi.write_tables({"a": df, "b": df.limit(0)}, folder=str(tmp_path / "bi")) == {"a": 7, "b": 0}
+    assert spark.read.parquet(str(tmp_path / "bi" / "a")).count() == 7
+
+
+def test_cooldown_holds_across_batches_and_models_are_swapped(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "alerts")
+    texts = [("m", 0), ("m", 1), ("m", 5), ("n", 1), ("m", 6)]
+    versions = iter(["1", "1", "2", "2", "2"])
+    loads = []
+
+    def load(tag):
+        loads.append(tag.version)
+        if tag.version == "2" and len(loads) == 2:
+            raise OSError("not there yet")
+        return lambda df: df.withColumn("anomaly_score", F.col("vibration"))
+
+    cache = ingest.ModelCache(lambda: alerts.ModelTag("forest", "champion", next(versions)), load)
+    for k, (machine, minute) in enumerate(texts):
+        text = '{"machine_id":"%s","ts":"2026-02-02T00:%02d:00Z","vibration":0.9,"error_code":3,"event":"x"}' % (machine, minute)
+        spark.createDataFrame([("k", text, "t", 0, k, at(0))], ingest.MESSAGE).coalesce(1).write.mode("append").json(src)
+        ingest.start_alerts(ingest.file_source(spark, src), cache, out, str(tmp_path / "cp"), interval=None, lines=str(tmp_path / "lines")).awaitTermination()
+    got = spark.read.parquet(out)
+    assert [(r["machine_id"], r["event_timestamp"].minute, r["model_version"]) for r in got.orderBy("_offset").collect()] == [("m", 0, "1"), ("m", 5, "1"), ("n", 1, "2")]
+    assert loads == ["1", "2", "2"]
+    r = got.where("machine_id = 'n'").first()
+    assert (r["alert_threshold"], r["model_name"], r["model_alias"], r["event"], r["error_code"], r["_topic"], r["_partition"], r["_offset"]) == (0.5, "forest", "champion", "x", 3, "t", 0, 3)
+    assert set(alerts.ALERT_COLUMNS) < set(got.columns) and got.where("alert_emitted_ts IS NULL").count() == 0
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    assert lines.count() == 3 and '"model_version":"2"' in lines.where("key = 'n'").first()["value"]
+    assert rows(ingest.last_before(spark, out + "_last", 99), "machine_id") == [("m",), ("n",)]
+
+
+def test_stop_waits_for_the_running_batch(spark, tmp_path):
+    src = str(tmp_path / "src")
+    spark.createDataFrame([("k", '{"machine_id":"m"}', "t", 0, 0, at(0))], ingest.MESSAGE).write.json(src)
+    query = ingest.start_ingest(ingest.file_source(spark, src), str(tmp_path / "b"), str(tmp_path / "m"), str(tmp_path / "cp"), interval="1 second", name="stopped")
+    query.processAllAvailable()
+    assert ingest.stop(query) and not query.isActive
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 1
+
+
+def test_stream_windows(spark, tmp_path):
+    src = str(tmp_path / "src")
+    for minutes in ((0, 1, 6), (30,), (31,)):
+        spark.createDataFrame([reading(int(m), minute=m, temp=10.0 * m) for m in minutes], BRONZE).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(BRONZE).parquet(src)
+        ingest.stream_windows(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "window_start_us", "motor_temp_mean", "record_count")
+    assert got == [(micros(at(0)), 5.0, 2), (micros(at(5)), 60.0, 1)]
+
+
+def test_training_pipeline_saves_promotes_and_loads(spark, tmp_path):
+    wide = generator.synthetic_features(spark, machines=12, steps=40).withColumn("label_failure_within_horizon", F.col("vibration_mean_5m") > 0.5)
+    reg = models.Registry(str(tmp_path / "r.json"))
+    folder = str(tmp_path / "models")
+    first = models.run_pipeline("predictive_maintenance", wide, reg, folder, rounds=5)
+    assert first.version == 1 and 0.5 < first.metrics["roc_auc"] <= 1 and 1 <= first.rounds <= 5
+    model = models.Model.load(spark, f"{folder}/predictive_maintenance/1")
+    stored = models.score_to_table(model, wide, str(tmp_path / "scored"), "gbt", "champion")
+    assert stored.count() == wide.count() and stored.columns == ["machine_id", "event_timestamp", "failure_probability", "model", "alias"]
+    assert stored.where("failure_probability BETWEEN 0 AND 1").count() == stored.count()
+    battery = models.run_pipeline("battery_health", wide, rounds=5)
+    assert battery.metrics["rmse"] > 0 and battery.version is None
+    fitted, _ = models.evaluate("battery_health", wide, rounds=2)
+    assert fitted.features and not any(c.startswith("battery_soh") for c in fitted.features)
+    anomaly = models.run_pipeline("anomaly_detection", wide, reg, folder, promote=False)
+    assert not anomaly.promoted and reg.champion("anomaly_detection") is None and "score_auc" in anomaly.metrics
+    again = models.Model.load(spark, f"{folder}/anomaly_detection/1")
+    a, b = (rows(m.score(wide.drop("created_timestamp")), "machine_id", "event_timestamp", "anomaly_score") for m in (again, models.train("anomaly_detection", wide.limit(400))))
+    assert len(a) == len(b) == 480
+    with pytest.raises(ValueError):
+        models.train("predictive_maintenance", wide.withColumn("label_failure_within_horizon", F.lit(None).cast("boolean")))
+    raw = models.raw_sensor_forest(rows=500, trees=20).score(spark.createDataFrame([reading(1), reading(2, vib=900.0, temp=None)], BRONZE)).orderBy("row_id").collect()
+    assert raw[0]["anomaly_score"] < raw[1]["anomaly_score"] < 1
+
+
+def test_offline_store_drift_check_and_layers(spark, tmp_path):
+    gold = spark.createDataFrame([gold_row(5 * i) for i in range(1, 40)] + [gold_row(60, "1h"), gold_row(1440, "24h")], GOLD)
+    stored = features.write_offline(gold, str(tmp_path / "offline"))
+    assert stored.where("created_timestamp IS NULL").count() == 0 and stored.count() == features.feature_dataset(gold).count()
+    assert [r["event_timestamp"] for r in features.feature_dataset(gold, ordered=True).collect()] == sorted(r["event_timestamp"] for r in stored.collect())
+    with pytest.raises(ValueError):
+        features.feature_dataset(gold.drop("error_count"))
+    drift.freeze_reference(stored, str(tmp_path / "ref"))
+    ref = spark.read.parquet(str(tmp_path / "ref"))
+    assert drift.drift_check(ref, stored, str(tmp_path / "d.json"))[1] == 0 and "dataset_drift" in (tmp_path / "d.json").read_text()
+    numbers = drift.shared_features(stored, stored)
+    moved = stored.withColumns({c: F.col(c) * 3 + F.rand(1) + 100 for c in numbers})
+    assert drift.drift_check(spark.range(200).select(F.rand(2).alias("a")), spark.range(200).select((F.rand(3) + 5).alias("a")))[1] == 1 and moved.columns == stored.columns
+    silver = spark.createDataFrame([reading(1), reading(2, minute=3)], BRONZE).withColumns({"lat": F.lit(1.0), "lon": F.lit(1.0), "speed": F.lit(1.0)})
+    ok = verify.verify_layers(silver, gold, silver.limit(1), micros(at(1445))).first()
+    assert (ok["passed"], ok["n_quarantined"], ok["missing"], ok["fresh"]) == (True, 1, "", True)
+    bad = verify.verify_layers(silver.unionByName(silver), gold.where("window_duration <> '1h'")).first()
+    assert (bad["passed"], bad["n_duplicates"], bad["missing"], bad["fresh"]) == (False, 2, "1h", False)
+
+
 def test_streaming_ingest_and_alerts(spark, tmp_path):
     lines = ['{"machine_id":"m","ts":"2026-02-02T00:00:00Z","vibration":0.9,"error_code":3}', "garbage", '{"ts":"2026-02-02T00:00:00Z"}', '{"machine_id":"n","ts":"bad","vibration":"x","speed":1.5}']
     src, bronze, bad = (str(tmp_path / x) for x in ("src", "bronze", "bad"))
