@@ -436,7 +436,7 @@ def ks(spark: SparkSession, d: str) -> DataFrame:
     return flat(drift.drift_report(ref, cur).select("feature", "ks"), 6)
 
 
-@query(f"SELECT a.feature, psi, round(ks + 1e-7, 4) AS ks, psi > 0.2 AS drifted FROM ({_PSI}) a JOIN ({_KS}) b USING (feature)")
+@query(f"SELECT a.feature, psi, round(ks + 1e-7, 4) AS ks, psi > 0.2 AS drifted FROM ({_PSI}) a JOIN ({_KS.replace(', 6) AS ks', ', 12) AS ks')}) b USING (feature)")
 def drift_report(spark: SparkSession, d: str) -> DataFrame:
     ref, cur = _sides(spark, d)
     return flat(drift.drift_report(ref, cur), nudge=1e-7)
