@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import us, with_row
@@ -123,3 +123,14 @@ def histogram_quantile(hist: DataFrame, q: float, buckets: tuple[float, ...] = (
         lo = F.col(f"le_{str(buckets[i - 1]).replace('.', '_')}") if i else F.lit(0)
         out = F.when(hi >= rank, F.lit(low_bound) + (buckets[i] - low_bound) * F.coalesce((rank - lo) / F.nullif(hi - lo, F.lit(0)), F.lit(1.0))).otherwise(out)
     return hist.withColumn("quantile", F.when(F.col("requests") > 0, out))
+
+
+def request_rates(df: DataFrame, time: str, group: tuple[str, ...], failed: Column, window_us: int = 300_000_000) -> DataFrame:
+    """(group, window_start_us, requests, rate, errors, error_rate): counts of each window and their number per second.
+
+    Rows with NULL time are left out; a window without requests has no row.
+    """
+    start = F.floor(us(time) / window_us).cast("long") * window_us
+    counts = df.where(F.col(time).isNotNull()).groupBy(*group, start.alias("window_start_us")).agg(F.count("*").alias("requests"), F.count_if(failed).alias("errors"))
+    per_second = lambda c: F.col(c) / F.lit(window_us / 1e6)
+    return counts.select(*group, "window_start_us", "requests", per_second("requests").alias("rate"), "errors", per_second("errors").alias("error_rate"))

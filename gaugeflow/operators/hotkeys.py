@@ -1,8 +1,9 @@
 """Time slices for entities that hold too many rows for one task.
 
-An entity with more rows than the limit is cut into slices of equal length in time. The limit is never below
-``total / MAX_SLICES``, so at most ``MAX_SLICES`` entities can exceed it: the slice table has a proven bound and may
-be broadcast at any size of the input. The length of a slice is chosen from the span between the 0.1 and 99.9 per cent
+An entity with more rows than the limit is cut into slices of equal length in time, as many as it has times the limit, so
+slices are bounded by rows at any size of the input (as far as the entity's pace is even). As long as at most MAX_HOT
+entities exceed the limit their table is small and proven so, and it is broadcast; beyond that it is written to the
+shared folder and joined like any table. The length of a slice is chosen from the span between the 0.1 and 99.9 per cent
 quantiles of the entity's times, so single stray times don't stretch it.
 """
 
@@ -10,61 +11,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gaugeflow.functions.columns import with_row
+from gaugeflow.session import spill
 
-MAX_SLICES = 100_000
+#: Up to so many hot entities (some 5 MB) are broadcast.
+MAX_HOT = 100_000
 TARGET_ROWS = 20_000
 
-_SLICES = T.StructType(
-    [
-        T.StructField("_hot_key", T.StringType()),
-        T.StructField("_hot_lo", T.LongType()),
-        T.StructField("_hot_len", T.LongType()),
-        T.StructField("_hot_n", T.LongType()),
-    ]
-)
+_SLICES = "_hot_key string, _hot_lo bigint, _hot_len bigint, _hot_n bigint"
 
 
 def _slim(df: DataFrame, key: str, us: Column) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("_hot_key"), us.alias("_us")).where(F.col("_hot_key").isNotNull() & F.col("_us").isNotNull())
 
 
-def _hot(slim: DataFrame, target_rows: int) -> DataFrame | None:
-    """(_hot_key, _n, _limit) of the entities above the limit, at most MAX_SLICES; None if there is none."""
-    counts = slim.groupBy("_hot_key").agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("total"))
-    limit = F.greatest(F.lit(target_rows), F.col("total") / F.lit(MAX_SLICES))
-    hot = [(r["_hot_key"], r["_n"], float(r["_limit"])) for r in with_row(counts, totals).where(F.col("_n") > limit).select("_hot_key", "_n", limit.alias("_limit")).collect()]
-    return slim.sparkSession.createDataFrame(hot, "_hot_key string, _n bigint, _limit double") if hot else None
+def _settle(table: DataFrame, schema: str, max_hot: int) -> DataFrame:
+    """A table of hot entities, computed once: with a broadcast hint if it is small, else from the shared folder."""
+    rows = table.limit(max_hot + 1).collect()
+    if len(rows) <= max_hot:
+        return F.broadcast(table.sparkSession.createDataFrame([tuple(r) for r in rows], schema))
+    return spill(table, "hot")
 
 
-def hot_keys(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """(_hot_key): the entities above the limit of slice_table, from one scan; at most MAX_SLICES of them."""
-    keys = _hot(_slim(df, key, us), target_rows)
-    return df.sparkSession.createDataFrame([], "_hot_key string") if keys is None else keys.select("_hot_key")
+def hot_keys(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """(_hot_key, _n): the entities above the limit, from one scan with map-side combine."""
+    counts = _slim(df, key, us).groupBy("_hot_key").agg(F.count("*").alias("_n")).where(F.col("_n") > target_rows)
+    return _settle(counts, "_hot_key string, _n bigint", max_hot)
 
 
-def slice_table(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_ROWS) -> DataFrame:
+def slice_table(df: DataFrame, key: str, us: Column, target_rows: int = TARGET_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
     """(_hot_key, _hot_lo, _hot_len, _hot_n) for each entity above the limit; empty when there is none.
 
     ``us`` is the time in microseconds. Two scans of two columns with map-side combine; NULL keys and times are left out.
     """
-    spark = df.sparkSession
-    slim = _slim(df, key, us)
-    keys = _hot(slim, target_rows)
-    if keys is None:
-        return spark.createDataFrame([], _SLICES)
-    spans = (
-        slim.join(F.broadcast(keys), "_hot_key")
-        .groupBy("_hot_key", "_n", "_limit")
-        .agg(F.percentile_approx("_us", [0.001, 0.999], 10_000).alias("q"))
-        .select("_hot_key", F.col("q")[0].alias("lo"), (F.col("q")[1] - F.col("q")[0]).alias("span"), F.ceil(F.col("_n") / F.col("_limit")).alias("n"))
-        .collect()
-    )
-    rows = [(r["_hot_key"], int(r["lo"]), max(1, -(-int(r["span"] + 1) // int(r["n"]))), int(r["n"])) for r in spans]
-    return spark.createDataFrame(rows, _SLICES)
+    keys = hot_keys(df, key, us, target_rows, max_hot)
+    spans = _slim(df, key, us).join(keys, "_hot_key").groupBy("_hot_key", "_n").agg(F.percentile_approx("_us", [0.001, 0.999], 10_000).alias("q"))
+    n = F.ceil(F.col("_n") / F.lit(target_rows)).cast("long")
+    length = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("q")[1] - F.col("q")[0] + 1) / n).cast("long"))
+    return _settle(spans.select("_hot_key", F.col("q")[0].alias("_hot_lo"), length.alias("_hot_len"), n.alias("_hot_n")), _SLICES, max_hot)
 
 
 def slice_of(us: Column) -> Column:
@@ -75,6 +59,6 @@ def slice_of(us: Column) -> Column:
 
 
 def with_slices(df: DataFrame, key: str, slices: DataFrame) -> DataFrame:
-    """Join the (bounded) slice table; adds _hot_lo, _hot_len and _hot_n."""
+    """Join the slice table, which carries its own broadcast hint where it is small; adds _hot_lo, _hot_len and _hot_n."""
     renamed = slices.withColumnRenamed("_hot_key", "_hot_key_of")
-    return df.join(F.broadcast(renamed), F.col(key).cast("string") == F.col("_hot_key_of"), "left").drop("_hot_key_of")
+    return df.join(renamed, F.col(key).cast("string") == F.col("_hot_key_of"), "left").drop("_hot_key_of")

@@ -195,7 +195,7 @@ def kslack_stages(
     buffers = (
         messages.where(F.col("machine_id").isNotNull() & F.col("us").isNotNull())
         .withColumn("window_start_us", F.floor(F.col("us") / window_us).cast("long") * window_us)
-        .join(F.broadcast(hot), "machine_id", "left")
+        .join(hot, "machine_id", "left")
         .select(
             "machine_id",
             "window_start_us",

@@ -54,7 +54,7 @@ def known_versions(
     )
     slices = slice_table(both.select("k", "at"), "k", F.col("at"), target_rows)
     cut = with_slices(both, "k", slices).withColumn("slice", slice_of(F.col("at"))).drop("_hot_lo", "_hot_len", "_hot_n")
-    hot = F.broadcast(slices.select(F.col("_hot_key").alias("k")))
+    hot = slices.select(F.col("_hot_key").alias("k"))
     # The last version before each slice: one row per hot entity and slice, none for the others.
     heads = with_slices(usable.join(hot, "k", "left_semi"), "k", slices).withColumn("slice", slice_of(F.col("at"))).groupBy("k", "slice").agg(F.max("ver").alias("ver"), F.first("_hot_n").alias("n"))
     grid = slices.select(F.col("_hot_key").alias("k"), F.explode(F.sequence(F.lit(0), (F.col("_hot_n") - 1).cast("int"))).alias("slice"))

@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.columns import flat, us
-from gaugeflow.operators import alerts, asof, bi, dedup, drift, evalmetrics, features, models, quality, verify, windows
+from gaugeflow.operators import alerts, asof, bi, dedup, drift, evalmetrics, features, joins, models, quality, verify, windows
 from gaugeflow.plans.adapter import TELEMETRY_SQL, telemetry_of
 from gaugeflow.schema import DURATIONS, METRICS, TASKS
 from gaugeflow.session import scratch_path
@@ -546,6 +546,11 @@ def request_quantile(spark: SparkSession, d: str) -> DataFrame:
     return flat(evalmetrics.histogram_quantile(hist, 0.95, _BUCKETS).select("event_type", "quantile"))
 
 
+@query("SELECT event_type, epoch_us(ts) // 3600000000 * 3600000000 AS window_start_us, count(*) AS requests, round(count(*) / 3600, 6) AS rate, count(*) FILTER (value > 100) AS errors, round(count(*) FILTER (value > 100) / 3600, 6) AS error_rate FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+def request_rates(spark: SparkSession, d: str) -> DataFrame:
+    return flat(evalmetrics.request_rates(table(spark, d, "events"), "ts", ("event_type",), F.col("value") > 100, 3_600_000_000), 6)
+
+
 # Alerts
 
 _CAND = "(SELECT machine_id, ts, vibration AS anomaly_score, row_id FROM bronze WHERE machine_id IS NOT NULL AND ts IS NOT NULL AND vibration >= 1.0 AND NOT isnan(vibration))"
@@ -707,6 +712,37 @@ def star_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+#: Feature rows as versions of their machine: valid for an hour, or until the next one.
+_VERSIONS = "(SELECT machine_id, feature_id, event_timestamp AS f, least(lead(event_timestamp) OVER (PARTITION BY machine_id ORDER BY event_timestamp, feature_id), event_timestamp + INTERVAL 1 HOUR) AS t, vibration_mean_5m FROM telemetry_features WHERE machine_id IS NOT NULL AND event_timestamp IS NOT NULL)"
+_LASTING = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY machine_id, f ORDER BY feature_id DESC) AS rn FROM {_VERSIONS}) WHERE rn = 1)"
+
+
+@query(
+    f"""SELECT p.prediction_id, CASE WHEN p.event_timestamp < v.t THEN v.feature_id END AS feature_id, round(CASE WHEN p.event_timestamp < v.t THEN v.vibration_mean_5m END + 1e-7, 4) AS v_vibration_mean_5m
+    FROM (SELECT * FROM predictions WHERE machine_id IS NOT NULL AND event_timestamp IS NOT NULL) p ASOF LEFT JOIN {_LASTING} v ON p.machine_id = v.machine_id AND p.event_timestamp >= v.f
+    UNION ALL SELECT prediction_id, NULL, NULL FROM predictions WHERE machine_id IS NULL OR event_timestamp IS NULL"""
+)
+def scd2_join(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions with the version of their machine that was valid at their time."""
+    order = Window.partitionBy("machine_id").orderBy("event_timestamp", "feature_id")
+    hour = F.timestamp_micros(us("event_timestamp") + 3_600_000_000)
+    t = table(spark, d, "telemetry_features").where("machine_id IS NOT NULL AND event_timestamp IS NOT NULL")
+    versions = t.select("machine_id", "feature_id", "event_timestamp", F.least(F.lead("event_timestamp").over(order).cast("timestamp"), hour).alias("valid_to"), "vibration_mean_5m")
+    found = joins.valid_at(table(spark, d, "predictions"), versions, "machine_id", "event_timestamp", "feature_id", ("vibration_mean_5m",), ("prediction_id",), "event_timestamp")
+    return flat(found.select("prediction_id", "feature_id", "v_vibration_mean_5m"), nudge=1e-7)
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT machine_id, epoch_us(ts) AS u FROM bronze WHERE error_code <> 0 AND machine_id IS NOT NULL AND ts IS NOT NULL)
+    SELECT f.row_id, CASE WHEN f.machine_id IS NOT NULL AND f.ts IS NOT NULL THEN e.u IS NOT NULL AND e.u <= epoch_us(f.ts) + 1800000000 END AS label, CASE WHEN e.u <= epoch_us(f.ts) + 1800000000 THEN e.u END AS label_us
+    FROM bronze f ASOF LEFT JOIN e ON f.machine_id = e.machine_id AND epoch_us(f.ts) <= e.u"""
+)
+def late_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an error of the machine follows a reading within half an hour."""
+    b = table(spark, d, "bronze")
+    return joins.label_within(b, b.where("error_code <> 0"), 1_800_000_000, "row_id", time="ts", label_time="ts")
+
+
 @query("SELECT machine_id, epoch_us(ts) AS ts_us FROM bronze WHERE ts >= TIMESTAMPTZ '2026-02-03 12:00:00+00'")
 def scan_since(spark: SparkSession, d: str) -> DataFrame:
     """A filter and two columns, both pushed to the scan."""
