@@ -62,6 +62,11 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
+def batch_mark(batch_id: int) -> str:
+    """How the names of a micro-batch's files begin."""
+    return f"b{batch_id:012d}-"
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ("event_date",), repeat: bool = True) -> None:
     """Append one micro-batch to a table partitioned by date; a batch that is repeated replaces what it wrote.
 
@@ -69,10 +74,11 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
     ``repeat`` files of that id are removed first; only the first batch after a start can be a repetition.
     """
     spark = df.sparkSession
-    mark = f"b{batch_id:012d}-"
+    mark = batch_mark(batch_id)
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     aside = f"{path}/_batch-{batch_id}"
+    fs.mkdirs(jvm.Path(path))
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(aside)
     deep = "/*" * len(partition_by)
     if repeat:

@@ -13,7 +13,7 @@ from gaugeflow.functions.columns import us
 from gaugeflow.operators.alerts import ALERT_COLUMNS, COOLDOWN, THRESHOLD, ModelTag, alert_rows, last_alerts, throttle
 from gaugeflow.schema import wire_schema
 from gaugeflow.session import delete_path
-from gaugeflow.sources.files import write_batch
+from gaugeflow.sources.files import batch_mark, write_batch
 
 MESSAGE = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
 
@@ -62,18 +62,35 @@ def start_ingest(messages: DataFrame, bronze: str, malformed: str, checkpoint: s
     The batch is parsed once for both sinks, which share one checkpoint. A batch that is repeated after a failure replaces
     what it wrote. Without ``interval`` the query takes what there is and ends.
     """
-    started: list[int] = []
+    def targets(parsed: DataFrame) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+        records, rest = split_parsed(parsed)
+        return {bronze: (records, ("event_date",)), malformed: (rest.withColumn("ingest_date", F.to_date("_ingest_ts")), ("ingest_date",))}
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        repeat = not started
-        started.append(batch_id)
-        kept = batch.persist()
-        good, bad = split_parsed(kept)
-        write_batch(good, bronze, batch_id, repeat=repeat)
-        write_batch(bad.withColumn("ingest_date", F.to_date("_ingest_ts")), malformed, batch_id, ("ingest_date",), repeat)
-        kept.unpersist()
+    return _each_batch(parse(messages), FanOut(targets), checkpoint, interval, name)
 
-    return parse(messages).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).queryName(name).trigger(**_trigger(interval)).start()
+
+class FanOut:
+    """Writes what ``targets`` makes of a micro-batch, each table idempotent by the batch's id.
+
+    The batch is held between the writes, so its source is read once. Only the first batch after a start can repeat one
+    from before, and only then are files of its id looked for.
+    """
+
+    def __init__(self, targets: Callable[[DataFrame], dict[str, tuple[DataFrame, tuple[str, ...]]]]) -> None:
+        self._targets, self._fresh = targets, True
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        repeat, self._fresh = self._fresh, False
+        held = batch.persist()
+        try:
+            for path, (frame, partitions) in self._targets(held).items():
+                write_batch(frame, path, batch_id, partitions, repeat)
+        finally:
+            held.unpersist()
+
+
+def _each_batch(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None, name: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).queryName(name).trigger(**_trigger(interval)).start()
 
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -120,27 +137,29 @@ def start_alerts(
     the batch before. ``lines`` gets key and JSON of the alerts too.
     """
     cache = model if isinstance(model, ModelCache) else ModelCache(ModelTag, lambda _: model)
-    started: list[int] = []
+    by_date = ("event_date",)
+
+    def targets(found: DataFrame) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+        dated = found.withColumn("event_date", F.to_date("event_timestamp"))
+        text = F.to_json(F.struct(*ALERT_COLUMNS, "alert_emitted_ts")).alias("value")
+        return {alerts: (dated, by_date)} | ({lines: (dated.select(F.col("machine_id").alias("key"), text, "event_date"), by_date)} if lines else {})
+
+    store = FanOut(targets)
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        repeat = not started
-        started.append(batch_id)
         tag, scorer = cache.current()
         prior = last_before(spark, f"{alerts}_last", batch_id)
-        found = alert_rows(scorer(batch.where(F.col("machine_id").isNotNull())), tag, threshold)
-        out = throttle(found, prior, cooldown).withColumn("alert_emitted_ts", F.current_timestamp()).persist()
-        write_batch(out.withColumn("event_date", F.to_date("event_timestamp")), alerts, batch_id, repeat=repeat)
-        if lines:
-            text = out.select(F.col("machine_id").alias("key"), F.to_json(F.struct(*ALERT_COLUMNS, "alert_emitted_ts")).alias("value"), F.to_date("event_timestamp").alias("event_date"))
-            write_batch(text, lines, batch_id, repeat=repeat)
-        last_alerts(out, prior).write.mode("overwrite").parquet(f"{alerts}_last/batch-{batch_id:012d}")
-        out.unpersist()
+        scored = scorer(batch.where(F.col("machine_id").isNotNull()))
+        new = throttle(alert_rows(scored, tag, threshold), prior, cooldown).withColumn("alert_emitted_ts", F.current_timestamp())
+        store(new, batch_id)
+        mine = spark.read.schema(new.schema).option("pathGlobFilter", batch_mark(batch_id) + "*").parquet(alerts)
+        last_alerts(mine, prior).write.mode("overwrite").parquet(f"{alerts}_last/batch-{batch_id:012d}")
         for old in _last_tables(spark, f"{alerts}_last"):
             if old < batch_id - 1:
                 delete_path(spark, f"{alerts}_last/batch-{old:012d}")
 
-    return parse(messages).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).queryName(name).trigger(**_trigger(interval)).start()
+    return _each_batch(parse(messages), emit, checkpoint, interval, name)
 
 
 def _last_tables(spark: SparkSession, path: str) -> list[int]:

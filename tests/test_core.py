@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from gaugeflow.functions.running import exact_quantiles, running_sums
 from gaugeflow.operators import alerts, bi, dedup, drift, evalmetrics, features, models, quality, verify, windows
 from gaugeflow.schema import METRICS, TASKS, numeric_columns, require
 from gaugeflow.sources import files, generator
-from gaugeflow.streaming import ingest
+from gaugeflow.streaming import ingest, metrics
 
 from .helpers import BRONZE, at, micros, reading, rows
 
@@ -283,6 +284,20 @@ def test_cooldown_holds_across_batches_and_models_are_swapped(spark, tmp_path):
     assert rows(ingest.last_before(spark, out + "_last", 99), "machine_id") == [("m",), ("n",)]
 
 
+def test_progress_of_streams_is_a_table(spark, tmp_path):
+    log = metrics.ProgressLog().attach(spark)
+    src = str(tmp_path / "src")
+    spark.createDataFrame([("k", '{"machine_id":"m"}', "t", 0, i, at(0)) for i in range(3)], ingest.MESSAGE).coalesce(1).write.json(src)
+    ingest.start_ingest(ingest.file_source(spark, src), str(tmp_path / "b"), str(tmp_path / "m"), str(tmp_path / "cp"), interval=None, name="watched").awaitTermination()
+    for _ in range(100):
+        if log.table(spark).where("name = 'watched'").count():
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(log)
+    r = log.table(spark).where("name = 'watched' AND batch_id = 0").first()
+    assert (r["input_rows"], r["late_rows"]) == (3, 0) and r["seconds"] > 0 and not log.failures
+
+
 def test_stop_waits_for_the_running_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame([("k", '{"machine_id":"m"}', "t", 0, 0, at(0))], ingest.MESSAGE).write.json(src)
