@@ -225,6 +225,11 @@ def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in names})
 
 
+def labelled(df: DataFrame, target: str, names: list[str]) -> DataFrame:
+    """The features with the target as ``_y``, of the rows that have one."""
+    return _numbers(df.where(F.col(target).isNotNull()), names).select(*names, F.col(target).cast("double").alias("_y"))
+
+
 #: The column each kind of task learns.
 TARGETS = {"probability": "label_failure_within_horizon", "regression": "battery_soh_mean_5m"}
 
@@ -239,10 +244,7 @@ def train(task_name: str, features: DataFrame, label: str | None = None, rounds:
     target = label or TARGETS[task.kind]
     names = [c for c in names if c != target]
 
-    def labelled(df: DataFrame) -> DataFrame:
-        return _numbers(df.where(F.col(target).isNotNull()), names).select(*names, F.col(target).cast("double").alias("_y"))
-
-    rows = labelled(features)
+    rows = labelled(features, target, names)
     # A column without any value can't be imputed.
     seen = rows.agg(F.avg("_y").alias("_share"), *[F.count(c).alias(c) for c in names]).first().asDict()
     share = seen.pop("_share")
@@ -255,7 +257,7 @@ def train(task_name: str, features: DataFrame, label: str | None = None, rounds:
     ready = Pipeline(stages=steps).fit(rows)
     # The booster reads its rows once a round: they are written once.
     prepared = lambda df, name: spill(ready.transform(df).select("features", "_y", weight.alias("weight")), name)
-    fitted = fit_early(booster, prepared(rows, "training"), None if validation is None else prepared(labelled(validation), "validation"))
+    fitted = fit_early(booster, prepared(rows, "training"), None if validation is None else prepared(labelled(validation, target, names), "validation"))
     return Model(task, names, PipelineModel([*ready.stages, fitted]), fitted.getNumTrees)
 
 
