@@ -1,6 +1,7 @@
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,22 @@ def test_generator_is_reproducible(spark):
     assert quality.split(generator.synthetic_telemetry(spark, 2, 50))[1].count() == 0
 
 
+def test_fleet_ticks_in_lockstep_whatever_machines_are_beside(spark):
+    ids = np.arange(6)
+    whole = generator._fleet(ids, ids < 2, 4_000, 5.0, 0, 3)
+    assert whole.ts.is_monotonic_increasing and (whole.groupby("ts").size() == 6).all()
+    alone = generator._fleet(ids[1:2], np.array([True]), 4_000, 5.0, 0, 3)
+    assert whole[whole.machine_id == "M-000001"].reset_index(drop=True).equals(alone)
+    assert whole.lat.between(47, 55).all() and whole.lon.between(5, 15).all() and whole.cpu_usage.between(0, 100).all()
+    bad, good = whole[whole.machine_id < "M-000002"], whole[whole.machine_id >= "M-000002"]
+    assert set(bad.event) == {"ok", "warning", "fault"} and set(good.event) == {"ok"} and not good.failure_within_horizon.any()
+    faults = bad[bad.event == "fault"]
+    assert set(faults.error_code) <= set(generator.FAULT_CODES) and faults.failure_within_horizon.all() and (bad[bad.event != "fault"].error_code == 0).all()
+    first = bad[bad.machine_id == "M-000000"].reset_index(drop=True)
+    at_fault, labelled = (first.event == "fault").idxmax(), first.failure_within_horizon.idxmax()
+    assert 40 <= at_fault - labelled <= 80 and first.vibration[at_fault:].mean() > first.vibration[:100].mean() + 2
+
+
 def test_verification(spark):
     df = spark.createDataFrame([reading(1), reading(2, minute=3)], BRONZE)
     assert verify.verify_bronze(df).first()["passed"]
